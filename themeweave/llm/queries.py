@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from themeweave.llm.clusters import similarity_clusters
 from themeweave.llm.distinct import OWN_SHARE, parsimonious_scores, term_counts
 from themeweave.llm.encode import encode_texts, token_sizes
+from themeweave.llm.forest import nearest_neighbours
 from themeweave.llm.looks import look_alikes, visual_forms
 from themeweave.llm.pack import pack_items
 from themeweave.llm.resolve import unmatched_spellings
 from themeweave.llm.split import split_oversized
 from themeweave.llm.topn import top_n_per_group
-from themeweave.session import table
+from themeweave.session import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +30,52 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return unmatched_spellings(table(spark, d, "chunks"), "chunk_id", ["technology", "technology_meta"], table(spark, d, "technologies"), "tech_id", "name", ["short_name"])
 
 
+DIM = 96
+
+
+def _concern_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "phrase_vectors").filter("track = 'concern'").withColumnRenamed("phrase_id", "concern_id")
+
+
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Up to ten most similar others of every usable concern vector, with a cosine of 0.6 or more."""
+    near = nearest_neighbours(_concern_vectors(spark, d), "concern_id", "embedding", DIM, k=10, floor=0.6)
+    return near.select(F.col("ident").alias("concern_id"), "place", F.col("other").alias("neighbour_id"), F.round("cosine", 6).alias("cosine"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of concerns of which one is among the ten most similar of the other, at a cosine of 0.955 or more.
+
+    Pairs below the floor never outrank one above it, so the lists are cut at the floor early.
+    """
+    near = nearest_neighbours(_concern_vectors(spark, d), "concern_id", "embedding", DIM, k=10, floor=0.955)
+    return near.select(F.least("ident", "other").alias("concern_id_a"), F.greatest("ident", "other").alias("concern_id_b")).distinct()
+
+
+def _sized_clusters(spark: SparkSession, d: str) -> DataFrame:
+    members = cut(similarity_clusters(table(spark, d, "phrase_vectors"), "track", "phrase_id", "embedding", DIM, floor=0.75))
+    sizes = members.groupBy("track", "first").agg(F.count("*").alias("size")).filter("size >= 3")
+    return members.join(sizes, ["track", "first"])
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Members of every set of three or more mutually similar phrases of a track."""
+    return _sized_clusters(spark, d).select("track", F.col("first").alias("first_id"), F.col("ident").alias("phrase_id"))
+
+
+def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Each cluster of three or more with its size, its three members of highest density and, for concerns, the commonest older theme."""
+    members = cut(_sized_clusters(spark, d))
+    key = members.withColumn("cluster", F.concat_ws(":", "track", "first"))
+    typical = top_n_per_group(key, "cluster", "density", "ident", 3)
+    shown = typical.groupBy("cluster").agg(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("place", "ident"))), lambda x: x["ident"].cast("string"))).alias("typical_ids"))
+    themes = table(spark, d, "concerns").select(F.col("concern_id").alias("ident"), "cluster_id").filter("cluster_id IS NOT NULL").distinct()
+    older = key.filter("track = 'concern'").join(themes, "ident").groupBy("cluster", "cluster_id").agg(F.count("*").alias("n"))
+    commonest = older.groupBy("cluster").agg((-F.max(F.struct("n", (-F.col("cluster_id")).alias("c")))["c"]).alias("older_cluster_id"))
+    base = key.select("cluster", "track", "first", "size").distinct()
+    return base.join(shown, "cluster").join(commonest, "cluster", "left").select("track", F.col("first").alias("first_id"), "size", "typical_ids", "older_cluster_id")
+
+
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Ordered pieces of every chunk text above 2,000 signs."""
     return split_oversized(table(spark, d, "chunks"), ["chunk_id", "source_file"], "text")
@@ -77,7 +125,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return look_alikes(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p5_found, p5_pieces, p7_found, p7_scores, p8_ids, p9_packing, p10_found, p10_forms)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_neighbours, p5_found, p5_pieces, p6_found, p6_clusters, p7_found, p7_scores, p8_ids, p9_packing, p10_found, p10_forms)}
 
 ORACLES: dict[str, str] = {
     "p1_found": """

@@ -12,6 +12,7 @@ from themeweave.llm.encode import encode_texts, token_sizes
 from themeweave.llm.forest import nearest_neighbours
 from themeweave.llm.looks import look_alikes, visual_forms
 from themeweave.llm.pack import pack_items
+from themeweave.llm.replies import defective_replies
 from themeweave.llm.resolve import unmatched_spellings
 from themeweave.llm.split import split_oversized
 from themeweave.llm.topn import top_n_per_group
@@ -66,7 +67,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Each cluster of three or more with its size, its three members of highest density and, for concerns, the commonest older theme."""
     members = cut(_sized_clusters(spark, d))
-    key = members.withColumn("cluster", F.concat_ws(":", "track", "first"))
+    key = members.withColumn("cluster", F.concat_ws(":", "track", "first")).withColumn("density", F.coalesce("density", F.lit(-1e300)))  # further copies come last
     typical = top_n_per_group(key, "cluster", "density", "ident", 3)
     shown = typical.groupBy("cluster").agg(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("place", "ident"))), lambda x: x["ident"].cast("string"))).alias("typical_ids"))
     themes = table(spark, d, "concerns").select(F.col("concern_id").alias("ident"), "cluster_id").filter("cluster_id IS NOT NULL").distinct()
@@ -76,6 +77,11 @@ def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
     return base.join(shown, "cluster").join(commonest, "cluster", "left").select("track", F.col("first").alias("first_id"), "size", "typical_ids", "older_cluster_id")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each defective reply with its one defect."""
+    return defective_replies(table(spark, d, "extractions"), "extraction_id", "chunk_id", "raw_phrases", "sentinel_returned", table(spark, d, "chunks"), "text", table(spark, d, "documents"), "text", "lang")
+
+
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Ordered pieces of every chunk text above 2,000 signs."""
     return split_oversized(table(spark, d, "chunks"), ["chunk_id", "source_file"], "text")
@@ -125,7 +131,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return look_alikes(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_neighbours, p5_found, p5_pieces, p6_found, p6_clusters, p7_found, p7_scores, p8_ids, p9_packing, p10_found, p10_forms)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_neighbours, p4_found, p5_found, p5_pieces, p6_found, p6_clusters, p7_found, p7_scores, p8_ids, p9_packing, p10_found, p10_forms)}
 
 ORACLES: dict[str, str] = {
     "p1_found": """

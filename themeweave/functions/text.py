@@ -28,17 +28,21 @@ META_VOCABULARY = ("public dialogue", "dialogue participants", "public engagemen
 TARGET_LABELS = ("ai", "artificial intelligence")
 
 
+#: One white-space sign, of any script.
+WS = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
+
+
 def c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
 def collapse_ws(s) -> Column:
     """Runs of white space as one space, trimmed."""
-    return F.trim(F.regexp_replace(c(s), r"\s+", " "))
+    return F.trim(F.regexp_replace(c(s), WS + "+", " "))
 
 
 def words(s) -> Column:
-    return F.filter(F.split(c(s), r"\s+"), lambda x: x != "")
+    return F.filter(F.split(c(s), WS + "+"), lambda x: x != "")
 
 
 def word_count(s) -> Column:
@@ -47,13 +51,13 @@ def word_count(s) -> Column:
 
 
 def split_sentences(s) -> Column:
-    """Sentences: cuts after . ! ? before an ASCII capital or a digit."""
-    return F.filter(F.transform(F.split(collapse_ws(s), r"(?<=[.!?])\s+(?=[A-Z\d])"), lambda x: F.trim(x)), lambda x: x != "")
+    """Sentences: cuts after . ! ? before an ASCII capital or any digit."""
+    return F.filter(F.transform(F.split(collapse_ws(s), r"(?<=[.!?])\s+(?=[A-Z\p{Nd}])"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def split_paragraphs(s) -> Column:
     """Blocks between blank lines, white space collapsed, empty ones dropped."""
-    return F.filter(F.transform(F.split(c(s), r"\n\s*\n"), collapse_ws), lambda x: x != "")
+    return F.filter(F.transform(F.split(c(s), rf"\n{WS}*\n"), collapse_ws), lambda x: x != "")
 
 
 def repack_sentences(sentences: Column, target: int) -> Column:
@@ -148,7 +152,7 @@ def looks_like_table_row(s) -> Column:
 
 def is_missing_text(s) -> Column:
     """Null, or blank after trimming white space."""
-    return c(s).isNull() | c(s).rlike(r"^\s*$")
+    return c(s).isNull() | c(s).rlike(rf"^{WS}*$")
 
 
 def pretty_label(cluster, label, width: int = 40) -> Column:

@@ -27,8 +27,9 @@ def norm(v) -> Column:
 
 def l2_normalize(v) -> Column:
     """Unit vector as doubles; a zero vector stays zero, null stays null."""
-    n = norm(v)
-    return F.transform(c(v), lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0))
+    # bound as a lambda variable, the norm is computed once a row and not once an element
+    one = F.array(F.struct(c(v).alias("v"), norm(v).alias("n")))
+    return F.transform(one, lambda s: F.transform(s["v"], lambda x: F.when(s["n"] > 0, x.cast("double") / s["n"]).otherwise(0.0)))[0]
 
 
 def cosine(a, b) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from themeweave.plans import text_queries, theme_queries
+from themeweave.plans import text_queries, theme_queries, time_queries, vector_queries
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _m in (text_queries, theme_queries):
+for _m in (text_queries, theme_queries, time_queries, vector_queries):
     QUERIES.update(_m.QUERIES)
     ORACLES.update(_m.ORACLES)

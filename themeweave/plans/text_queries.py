@@ -12,11 +12,12 @@ from themeweave.session import table
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-_WS = r"regexp_replace(text, '\s+', ' ', 'g')"
+_W = r"[\s\x0B\x1C-\x1F\x{85}\pZ]"
+_WS = f"regexp_replace(text, '{_W}+', ' ', 'g')"
 _FLAT = f"trim({_WS})"
-_WORDS = r"list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')"
-_SENT = rf"list_filter(list_transform(string_split(regexp_replace({_FLAT}, '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"
-_PARA = r"list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '')"
+_WORDS = f"list_filter(string_split_regex(text, '{_W}+'), lambda x: x <> '')"
+_SENT = rf"list_filter(list_transform(string_split(regexp_replace({_FLAT}, '([.!?])\s+([A-Z\p{{Nd}}])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"
+_PARA = rf"list_filter(list_transform(string_split_regex(text, '\n{_W}*\n'), lambda x: trim(regexp_replace(x, '{_W}+', ' ', 'g'))), lambda x: x <> '')"
 _TOK = r"list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda x: length(x) > 3)"
 _VOC = r"list_filter(regexp_extract_all(lower(text), '[\pL\pN_]+'), lambda x: regexp_full_match(x, '[a-z]{3,}'))"
 
@@ -46,7 +47,7 @@ _chunk_fn("looks_like_table_row", T.looks_like_table_row, "coalesce(length(text)
 _chunk_fn("contains_tech_term", lambda c: T.contains_term(c, T.TECH_TERMS_WIDE), _any_word(T.TECH_TERMS_WIDE, "text"))
 _chunk_fn("html_escape", T.html_escape, "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')")
 _chunk_fn("clean_for_xlsx", lambda c: T.clean_control(F.concat(F.lit("\x0b"), c, F.lit("\x00\t"))), r"regexp_replace(chr(11) || text || chr(9), '[\x01-\x08\x0B\x0C\x0E-\x1F]', '', 'g')")
-_chunk_fn("is_missing_text", T.is_missing_text, r"text IS NULL OR regexp_full_match(text, '\s*')")
+_chunk_fn("is_missing_text", T.is_missing_text, f"text IS NULL OR regexp_full_match(text, '{_W}*')")
 # the corpus has no bibliographies: the positive cases are added to every text's own
 _BIB = r"regexp_matches(x, '(?i)(^|[^\pL\pN_])(et al\.?|doi:|https?://|pp?\.\s*\d+|vol\.|isbn|issn)') AND regexp_matches(x, '\([12]\d{3}\)')"
 QUERIES["looks_like_bibliography"] = lambda s, d: chunks(s, d).select("chunk_id", T.looks_like_bibliography("text").alias("own"), T.looks_like_bibliography(F.concat(F.lit("Smith et al. doi:10.1000/xyz (2020) "), "text")).alias("cited"))
@@ -98,7 +99,7 @@ ORACLES["quality_summary"] = f"""WITH {CH}, f AS ({ORACLES["flag_chunk_quality"]
   SELECT count(*) AS n_chunks, count(*) FILTER (likely_bibliography) AS n_bibliography, count(*) FILTER (likely_table_row) AS n_table_row,
   count(*) FILTER (likely_bibliography OR likely_table_row) AS n_flagged, (SELECT n FROM p) AS n_privacy FROM f"""
 QUERIES["filter_missing_source_text"] = lambda s, d: Q.filter_missing_source_text(table(s, d, "documents")).select("doc_id")
-ORACLES["filter_missing_source_text"] = r"SELECT doc_id FROM documents WHERE NOT (text IS NULL OR regexp_full_match(text, '[\s\x0B]*'))"
+ORACLES["filter_missing_source_text"] = f"SELECT doc_id FROM documents WHERE NOT (text IS NULL OR regexp_full_match(text, '{_W}*'))"
 for _key in ("technology_meta", "year", "source_file"):
     QUERIES[f"count_by_{_key}"] = lambda s, d, k=_key: Q.count_by(chunks(s, d), k)
     ORACLES[f"count_by_{_key}"] = f"WITH {CH} SELECT {_key}, count(*) AS n FROM ch WHERE {_key} IS NOT NULL GROUP BY ALL"

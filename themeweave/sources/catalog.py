@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from themeweave.schema import SCHEMAS
@@ -39,7 +40,10 @@ class Catalog:
     def load(self, name: str) -> DataFrame | None:
         """A table, or None if it was never written; raises for a missing required one."""
         if self.has(name):
-            return self.spark.read.parquet(self.path(name))
+            try:
+                return self.spark.read.parquet(self.path(name))
+            except AnalysisException:  # a partitioned table without rows has no file to read a schema from
+                return self.spark.createDataFrame([], SCHEMAS[name])
         if name in REQUIRED:
             raise FileNotFoundError(f"the run has no {name}")
         return None

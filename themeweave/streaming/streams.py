@@ -19,9 +19,14 @@ def flag_stream(chunks: DataFrame, text: str = "text") -> DataFrame:
     return flag_chunk_quality(chunks, text)
 
 
+def _watermarked(events: DataFrame, ts: str, late: str) -> DataFrame:
+    """A stream with a watermark (which needs a zoned time stamp); a batch as it is."""
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if events.isStreaming else events
+
+
 def windowed_counts(events: DataFrame, ts: str, key: str, *, window: str = "1 day", late: str = "7 days", value: str | None = None) -> DataFrame:
     """(start, end, key, n[, total]) per time window; rows later than ``late`` are ignored once their window is closed. Runs on batches as well."""
-    x = events.withWatermark(ts, late) if events.isStreaming else events
+    x = _watermarked(events, ts, late)
     aggs = [F.count("*").alias("n"), *([F.sum(value).alias("total")] if value else [])]
     g = x.filter(F.col(ts).isNotNull()).groupBy(F.window(ts, window).alias("w"), F.col(key)).agg(*aggs)
     return g.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *[c for c in g.columns if c != "w"])
@@ -29,14 +34,14 @@ def windowed_counts(events: DataFrame, ts: str, key: str, *, window: str = "1 da
 
 def sessions(events: DataFrame, ts: str, key: str, *, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
     """(start, end, key, n) of each key's bursts of events no further apart than ``gap``."""
-    x = events.withWatermark(ts, late) if events.isStreaming else events
+    x = _watermarked(events, ts, late)
     g = x.filter(F.col(ts).isNotNull()).groupBy(F.session_window(ts, gap).alias("w"), F.col(key)).agg(F.count("*").alias("n"))
     return g.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n")
 
 
 def deduplicated(rows: DataFrame, keys: list[str], ts: str, late: str = "30 days") -> DataFrame:
     """First delivery of each key; state is kept for ``late``."""
-    return rows.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys) if rows.isStreaming else rows.dropDuplicates(keys)
+    return _watermarked(rows, ts, late).dropDuplicatesWithinWatermark(keys) if rows.isStreaming else rows.dropDuplicates(keys)
 
 
 def extract_stream(chunks: DataFrame, extract: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, chunk: str = "chunk_id") -> StreamingQuery:

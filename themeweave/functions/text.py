@@ -62,19 +62,19 @@ def split_paragraphs(s) -> Column:
 
 def repack_sentences(sentences: Column, target: int) -> Column:
     """Sentences joined greedily up to ``target`` words; one of ``target`` words or more stands alone."""
-    state = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"), F.lit(0).alias("n"))
+    counted = F.transform(sentences, lambda s: F.struct(s.alias("s"), F.size(words(s)).alias("n")))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("cur"), F.lit(0).alias("n"))
 
     def flushed(a: Column) -> Column:
-        return F.when(a["n"] > 0, F.concat(a["done"], F.array(a["cur"]))).otherwise(a["done"])
+        return F.when(a["n"] > 0, F.array_append(a["done"], F.array_join(a["cur"], " "))).otherwise(a["done"])
 
-    def step(a: Column, s: Column) -> Column:
-        n = F.size(words(s))
-        alone = F.struct(F.concat(flushed(a), F.array(s)).alias("done"), F.lit("").alias("cur"), F.lit(0).alias("n"))
-        fresh = F.struct(flushed(a).alias("done"), s.alias("cur"), n.alias("n"))
-        more = F.struct(a["done"].alias("done"), F.when(a["n"] > 0, F.concat(a["cur"], F.lit(" "), s)).otherwise(s).alias("cur"), (a["n"] + n).alias("n"))
-        return F.when(n >= target, alone).when((a["n"] > 0) & (a["n"] + n > target), fresh).otherwise(more)
+    def step(a: Column, x: Column) -> Column:
+        alone = F.struct(F.array_append(flushed(a), x["s"]).alias("done"), F.array().cast("array<string>").alias("cur"), F.lit(0).alias("n"))
+        fresh = F.struct(flushed(a).alias("done"), F.array(x["s"]).alias("cur"), x["n"].alias("n"))
+        more = F.struct(a["done"].alias("done"), F.array_append(a["cur"], x["s"]).alias("cur"), (a["n"] + x["n"]).alias("n"))
+        return F.when(x["n"] >= target, alone).when((a["n"] > 0) & (a["n"] + x["n"] > target), fresh).otherwise(more)
 
-    return F.aggregate(sentences, state, step, flushed)
+    return F.aggregate(counted, start, step, flushed)
 
 
 def truncate_words(s, n: int) -> Column:

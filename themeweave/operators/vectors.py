@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -54,23 +55,46 @@ def centroids(df: DataFrame, cluster: str, vector: str) -> DataFrame:
     return g.select(cluster, "n", l2_normalize("_m").alias("centroid"))
 
 
+def _units(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+
+
+def _centroid_matrix(cents: DataFrame, cluster: str, centroid: str) -> tuple[list, np.ndarray]:
+    """Ids in order and unit rows of a centroid table of at most SMALL_ROWS rows."""
+    rows = sorted(cents.select(cluster, centroid).limit(SMALL_ROWS + 1).collect(), key=lambda r: r[0])
+    if len(rows) > SMALL_ROWS:
+        raise ValueError(f"more than {SMALL_ROWS} centroids; compare them in blocks")
+    return [r[0] for r in rows], _units(np.array([r[1] for r in rows], float)) if rows else np.zeros((0, 0))
+
+
+def _against(df: DataFrame, ident: str, vector: str, ids: list, m: np.ndarray, out: str, pick) -> DataFrame:
+    """One matrix product per Arrow batch of vectors; ``pick`` turns similarities into (rows, columns)."""
+
+    def run(batches):
+        for b in batches:
+            v = b.column(1)
+            rows = np.flatnonzero(np.array(v.is_valid()) & (np.array(v.value_lengths().fill_null(0)) == m.shape[1])) if m.size else np.zeros(0, int)
+            for lo in range(0, len(rows), 2048):
+                part = v.take(pa.array(rows[lo : lo + 2048]))
+                sims = _units(part.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, m.shape[1])) @ m.T
+                r, k = pick(sims)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows[lo : lo + 2048][r])), pa.array([ids[j] for j in k], pa.int32()), pa.array(sims[r, k])], names=["ident", "cluster", "similarity"])
+
+    kind = dict(df.dtypes)[ident]
+    return df.select(ident, vector).mapInArrow(run, f"ident {kind}, cluster int, similarity double").withColumnsRenamed({"ident": ident, "cluster": out})
+
+
 def soft_membership(df: DataFrame, ident: str, vector: str, cents: DataFrame, cluster: str, centroid: str, threshold: float | None = None) -> DataFrame:
     """(ident, cluster, similarity) of every vector with every centroid, at ``threshold`` or more if one is given."""
-    u = df.select(ident, l2_normalize(vector).alias("_u"))
-    m = broadcast_if_small(cents.select(cluster, l2_normalize(centroid).alias("_c")), SMALL_ROWS)
-    x = u.crossJoin(m).select(ident, cluster, dot("_u", "_c").alias("similarity"))  # vectors x centroids is the result itself
-    return x.filter(F.col("similarity") >= threshold) if threshold is not None else x
+    ids, m = _centroid_matrix(cents, cluster, centroid)
+    low = -2.0 if threshold is None else threshold
+    return _against(df, ident, vector, ids, m, cluster, lambda s: np.nonzero(s >= low))
 
 
 def assign_nearest(df: DataFrame, ident: str, vector: str, cents: DataFrame, cluster: str, centroid: str) -> DataFrame:
-    """(ident, cluster, similarity) of each vector's nearest centroid; ties to the smaller id.
-
-    The centroids travel as one array, so each row is compared in place, without a shuffle of vectors.
-    """
-    m = cents.agg(F.sort_array(F.collect_list(F.struct(F.col(cluster).alias("k"), l2_normalize(centroid).alias("v")))).alias("_all"))  # the centroid table, few rows
-    x = df.crossJoin(F.broadcast(m)).withColumn("_u", l2_normalize(vector))  # one row
-    best = F.array_min(F.transform("_all", lambda s: F.struct((-F.round(dot("_u", s["v"]), 12)).alias("d"), s["k"].alias("k"))))
-    return x.withColumn("_b", best).select(ident, F.col("_b.k").alias(cluster), (-F.col("_b.d")).alias("similarity"))
+    """(ident, cluster, similarity) of each vector's nearest centroid; ties to the smaller id. No shuffle."""
+    ids, m = _centroid_matrix(cents, cluster, centroid)
+    return _against(df, ident, vector, ids, m, cluster, lambda s: (np.arange(len(s)), np.round(s, 12).argmax(1)))
 
 
 def map_centroids(a: DataFrame, b: DataFrame, cluster: str, centroid: str) -> DataFrame:

@@ -39,7 +39,8 @@ def chunk_candidates(docs: DataFrame, text: str, blocks: str | None = None, *, m
     one = lambda p: F.when(word_count(p) > max_words, named(repack_sentences(split_sentences(p), target), "sentence_split")).otherwise(named(F.array(p), "paragraph"))
     d = d.withColumn("_cand", F.when(F.col("_case3"), packed).otherwise(F.flatten(F.transform(F.filter(F.transform("_paras", collapse_ws), lambda p: p != ""), one))))
     d = d.withColumn("doc_case", F.when(F.col("_case3"), 3).when(F.col("n_oversized") > 0, 2).otherwise(1))
-    out = d.select(*keep, "doc_case", "blocks_used", "n_oversized", F.posexplode("_cand").alias("chunk_index", "_x"))
+    # outer: an inner explode would make the optimizer test the array's size in a pushed-down filter, computing it twice
+    out = d.select(*keep, "doc_case", "blocks_used", "n_oversized", F.posexplode_outer("_cand").alias("chunk_index", "_x")).filter(F.col("chunk_index").isNotNull())
     return out.select(*keep, "doc_case", "blocks_used", "n_oversized", "chunk_index", "_x.method", F.col("_x.candidate").alias("candidate"))
 
 

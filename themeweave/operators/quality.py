@@ -68,7 +68,7 @@ def vocabulary_frequency(df: DataFrame, phrase: str, *, top_n: int = 100, meta:
     x = df.select(c(phrase).alias("p")).filter(F.col("p").isNotNull())
     total = x.agg(F.greatest(F.count("*"), F.lit(1)).alias("total"))
     t = x.select(vocab_tokens("p").alias("t"))
-    terms = t.select(F.explode(F.concat("t", bigrams(F.col("t")))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    terms = t.select(F.explode_outer(F.concat("t", bigrams(F.col("t")))).alias("term")).filter(F.col("term").isNotNull()).groupBy("term").agg(F.count("*").alias("n"))
     top = terms.orderBy(F.desc("n"), "term").limit(top_n)
     return top.crossJoin(F.broadcast(total)).select("term", "n", F.round(100 * F.col("n") / F.col("total"), 2).alias("pct_of_phrases"), F.lower("term").isin(*[m.lower() for m in meta]).alias("is_meta_vocab"))
 

@@ -84,7 +84,7 @@ def lexical_novelty(phrases: DataFrame, tech: str, phrase: str, target: str, yea
     """(year, num_phrases, vocab, new, new_share): tokens of the target's phrases never used in an earlier year."""
     x = phrases.filter((F.lower(tech) == target.lower()) & F.col(year).isNotNull()).select(F.col(year).alias("year"), F.col(phrase).alias("p"))
     n = x.groupBy("year").agg(F.count("*").alias("num_phrases"))
-    tokens = x.select("year", F.explode(F.array_distinct(tokenize("p"))).alias("w")).distinct()
+    tokens = x.select("year", F.explode_outer(F.array_distinct(tokenize("p"))).alias("w")).filter(F.col("w").isNotNull()).distinct()
     first = tokens.groupBy("w").agg(F.min("year").alias("first"))
     t = tokens.join(first, "w").groupBy("year").agg(F.count("*").alias("vocab"), F.count_if(F.col("first") == F.col("year")).alias("new"))
     return n.join(t, "year", "left").fillna(0, ["vocab", "new"]).withColumn("new_share", div(F.col("new"), F.col("vocab")))

@@ -134,7 +134,7 @@ def _docs(s, d):
 QUERIES["chunk_documents"] = lambda s, d: C.chunk_documents(_docs(s, d), "doc_id", "text", "blocks", min_words=10, min_chars=40).select("chunk_id", "doc_id", "chunk_index", "text", "word_count", "was_truncated", "chunking_method")
 QUERIES["chunk_documents_split"] = lambda s, d: C.chunk_documents(_docs(s, d), "doc_id", "text", "blocks", min_words=5, min_chars=10, max_words=40, target=25).select("chunk_id", "chunk_index", "word_count", "was_truncated", "chunking_method")
 QUERIES["chunk_stats"] = lambda s, d: C.chunk_stats(C.chunk_candidates(_docs(s, d), "text", "blocks", min_words=10, min_chars=40, max_words=60, target=40), "doc_id", min_words=10, min_chars=40, max_words=60)
-QUERIES["repack_sentences"] = lambda s, d: table(s, d, "documents").filter("text IS NOT NULL").select("doc_id", F.posexplode(T.repack_sentences(T.split_sentences("text"), 60)).alias("piece", "text"))
+QUERIES["repack_sentences"] = lambda s, d: table(s, d, "documents").filter("text IS NOT NULL").select("doc_id", F.posexplode_outer(T.repack_sentences(T.split_sentences("text"), 60)).alias("piece", "text")).filter("piece IS NOT NULL")
 QUERIES["doc_summary"] = lambda s, d: C.doc_summary(chunks(s, d), "source_file")
 ORACLES["doc_summary"] = f"WITH {CH} SELECT source_file, count(*) AS chunks_kept, coalesce(array_to_string(list_sort(list(DISTINCT chunking_method) FILTER (chunking_method IS NOT NULL)), '+'), '') AS methods, count(*) FILTER (was_truncated) AS truncated FROM ch GROUP BY ALL"
 

@@ -186,7 +186,7 @@ def _(s, d):
     return rounded(S.distinctive(p, T, C, TARGET, labels(p)), *_DN)
 
 
-_FP = f"""fq AS (SELECT *, share / sum(share) OVER (PARTITION BY cluster_id) AS q FROM sal),
+_FP = f"""fq AS (SELECT *, coalesce(share / nullif(sum(share) OVER (PARTITION BY cluster_id), 0), 0) AS q FROM sal),
   fp AS (SELECT cluster_id, coalesce(max(q) FILTER (technology_meta = '{TARGET}'), 0) - coalesce(avg(q) FILTER (technology_meta <> '{TARGET}'), 0) AS value FROM fq GROUP BY ALL)"""
 
 
@@ -249,7 +249,7 @@ _RG = ", ".join(f"({t}, {v})" for t in (0.4, 0.5, 0.6) for v in (0.70, 0.75, 0.8
 
 
 @q("stable_core_robustness", f"""WITH {ph()}, {SAL}, {_FP}, s1 AS (SELECT cluster_id, sum(share) OVER (PARTITION BY cluster_id) AS s, share FROM sal),
-  cs AS (SELECT cluster_id, max(s) AS size, coalesce(sum(-(share / s) * ln(share / s)) FILTER (share > 0), 0) AS h, count(*) FILTER (share > 0) AS k FROM s1 GROUP BY ALL),
+  cs AS (SELECT cluster_id, max(s) AS size, coalesce(sum(-(share / nullif(s, 0)) * ln(share / nullif(s, 0))) FILTER (share > 0), 0) AS h, count(*) FILTER (share > 0) AS k FROM s1 GROUP BY ALL),
   ce AS (SELECT cluster_id, size, CASE WHEN k > 1 THEN h / ln(greatest(k, 2)) ELSE 0 END AS e FROM cs),
   g AS (SELECT CAST(t AS DOUBLE) AS threshold, CAST(v AS DOUBLE) AS quantile FROM (VALUES {_RG}) v(t, v)),
   b AS (SELECT threshold, quantile, CASE quantile WHEN 0.7 THEN (SELECT quantile_cont(size, 0.7) FROM ce) WHEN 0.75 THEN (SELECT quantile_cont(size, 0.75) FROM ce) ELSE (SELECT quantile_cont(size, 0.8) FROM ce) END AS size_bound FROM g),

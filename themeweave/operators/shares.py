@@ -215,3 +215,16 @@ def prompt_agreement(phrases: DataFrame, chunks: DataFrame, vector: str, *, thre
     y = y.join(both, [chunk, "variant_a", "variant_b"], "left").withColumn("agree", F.when((F.col("na") > 0) & (F.col("nb") > 0), (F.col("hit_pa") + F.col("hit_pb")) / (F.col("na") + F.col("nb"))))
     same = (F.col("na") > 0) == (F.col("nb") > 0)
     return y.groupBy("variant_a", "variant_b").agg(F.count("*").alias("n_chunks"), F.avg(F.when(same, 1.0).otherwise(0.0)).alias("yield_agreement"), F.count("agree").alias("n_both"), F.avg("agree").alias("phrase_agreement"))
+
+
+def variant_summary(diagnostics: DataFrame, ari: DataFrame, distinctiveness: DataFrame, name_parts: dict[str, str], variant: str = "variant") -> DataFrame:
+    """Per variant: diagnostics, agreement with the baseline, and the summed differences of lenses whose name contains a part (column -> part)."""
+    named = [F.sum(F.when(F.col("lens").contains(part), F.col("diff_tech"))).alias(column) for column, part in name_parts.items()]
+    out = diagnostics.join(ari.select(variant, "ari"), variant, "left")
+    return out.join(distinctiveness.groupBy(variant).agg(*named), variant, "left") if named else out
+
+
+def comparison_chart(cluster_extremes: DataFrame, cluster: str) -> DataFrame:
+    """Data of a two-sided bar chart: label, both shares in percent and the difference in percentage points."""
+    pct = lambda x: F.round(100 * F.col(x), 2) + F.lit(0.0)
+    return cluster_extremes.select(cluster, "label", "direction", pct("target_share").alias("target_pct"), pct("tech_weighted").alias("others_pct"), pct("difference").alias("difference_pp"))

@@ -337,6 +337,26 @@ def _(s, d):
     return S.disagreements(S.first_assignment(variants(s, d), C), "A", "C", C)
 
 
+@q("variant_summary", f"""WITH {_VAR}, {_VL}, {_FA}, pr AS (SELECT y.variant, x.cluster_id AS a, y.cluster_id AS b FROM fa x JOIN fa y USING (chunk_id) WHERE x.variant = 'A' AND y.variant <> 'A'), {_ari('pr', 'variant')},
+  g AS (SELECT t.variant, t.technology_meta, l.lens, tech_n, coalesce(n, 0) AS n FROM (SELECT DISTINCT variant, technology_meta, tech_n FROM vs) t CROSS JOIN (SELECT DISTINCT lens FROM vs) l LEFT JOIN vn USING (variant, technology_meta, lens)),
+  x AS (SELECT variant, lens, coalesce(max(n / tech_n) FILTER (technology_meta = '{TARGET}'), 0) - coalesce(avg(n / tech_n) FILTER (technology_meta <> '{TARGET}'), 0) AS diff FROM g GROUP BY ALL),
+  d AS (SELECT variant, {r6("sum(diff) FILTER (lens LIKE '%3%')")} AS diff_three, {r6("sum(diff) FILTER (lens LIKE '%_9%')")} AS diff_nine FROM x GROUP BY ALL)
+  SELECT p.variant, count(*) AS n_phrases, any_value(ari) AS ari, any_value(diff_three) AS diff_three, any_value(diff_nine) AS diff_nine FROM ph p LEFT JOIN ari USING (variant) LEFT JOIN d USING (variant) GROUP BY p.variant""")
+def _(s, d):
+    v = variants(s, d)
+    names = F.explode(F.array(*map(F.lit, "ABC"))).alias("variant")
+    diag = S.variant_diagnostics(chunks(s, d).select("chunk_id", names), v)
+    dist = S.variant_distinctiveness(S.variant_lens_share(v, bridge(v), T, C), T, TARGET)
+    out = S.variant_summary(diag, S.variant_ari(S.first_assignment(v, C), "A", C), dist, {"diff_three": "3", "diff_nine": "_9"})
+    return rounded(out.select("variant", "n_phrases", "ari", "diff_three", "diff_nine"), "ari", "diff_three", "diff_nine")
+
+
+@q("figure3_data", f"{_DIS} SELECT cluster_id, {pretty_sql()} AS label, direction, round(100 * target_share, 2) + 0.0 AS target_pct, round(100 * tech_weighted, 2) + 0.0 AS others_pct, round(100 * difference, 2) + 0.0 AS difference_pp FROM {_ends(10, 10)}")
+def _(s, d):
+    p = phrases(s, d)
+    return S.comparison_chart(S.distinctive(p, T, C, TARGET, labels(p)), C)
+
+
 # --- traces and samples ---------------------------------------------------------------------------
 
 _TRACE = f"""{CH}, {ph()}, {BR}, g AS (SELECT chunk_id, array_to_string(list(phrase ORDER BY phrase_id) FILTER (phrase IS NOT NULL), '|') AS phrases, array_to_string(list(cluster_id ORDER BY phrase_id) FILTER (cluster_id IS NOT NULL), '|') AS clusters FROM ph GROUP BY ALL),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -37,3 +38,20 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     The count stops after ``max_rows + 1`` rows, so checking a huge side stays cheap.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the session's Python workers, once; they need not have it installed."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_themeweave_shipped", False):
+        here = os.path.dirname(os.path.abspath(__file__))
+        target = os.path.join(tempfile.mkdtemp(prefix="themeweave-"), "themeweave.zip")
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, files in os.walk(here):
+                for name in sorted(files):
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        z.write(path, os.path.join("themeweave", os.path.relpath(path, here)))
+        sc.addPyFile(target)
+        sc._themeweave_shipped = True
+    return spark

@@ -49,12 +49,15 @@ def group_distribution(df: DataFrame, group: str, category: str, *, basis: str =
     return out
 
 
-def cluster_profile(df: DataFrame, cluster: str, tech: str, k: int, *, threshold: float = 0.5) -> DataFrame:
-    """Per cluster 0..k-1: size, n_technologies, entropy_raw, entropy_norm (global), is_cross_cutting; empty clusters give zeros."""
+def cluster_profile(df: DataFrame, cluster: str, tech: str, k: int, *, beyond: bool = False, threshold: float = 0.5) -> DataFrame:
+    """Per cluster 0..k-1: size, n_technologies, entropy_raw, entropy_norm (global), is_cross_cutting; empty clusters give zeros.
+
+    ``beyond`` adds every other cluster that occurs; without it, identifiers outside 0..k-1 count as stale.
+    """
     sizes = counts(df, cluster).select(cluster, F.col("n").alias("size"))
     d = group_distribution(df, cluster, tech, basis="global").select(cluster, "categories", "entropy_raw", "entropy_norm")
     ids = df.sparkSession.range(k).select(F.col("id").cast("int").alias(cluster))
-    x = ids.join(sizes, cluster, "left").join(d, cluster, "left")
+    x = ids.join(sizes, cluster, "full_outer" if beyond else "left").join(d, cluster, "left")
     zero = {"size": 0, "categories": 0, "entropy_raw": 0.0, "entropy_norm": 0.0}
     return x.fillna(zero).withColumnRenamed("categories", "n_technologies").withColumn("is_cross_cutting", F.col("entropy_norm") >= threshold)
 

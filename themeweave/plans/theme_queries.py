@@ -33,7 +33,8 @@ for _t in M.TRACKS:
 
     @q(f"cluster_profile_{_t}", f"WITH {ph(_t)}, {PROFILE} SELECT {PCOLS} FROM prof")
     def _(s, d, t=_t):
-        return rounded(M.cluster_profile(phrases(s, d, t), C, T, K), "entropy_raw", "entropy_norm")
+        # the number of benefit clusters grows with the rows
+        return rounded(M.cluster_profile(phrases(s, d, t), C, T, K, beyond=t == "benefit"), "entropy_raw", "entropy_norm")
 
     @q(f"lens_prevalence_{_t}", f"WITH {ph(_t)}, {BR} SELECT lens, CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM br LEFT JOIN (SELECT cluster_id, count(*) AS n FROM ph GROUP BY ALL) USING (cluster_id) GROUP BY ALL")
     def _(s, d, t=_t):

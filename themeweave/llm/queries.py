@@ -38,9 +38,13 @@ def _concern_vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "phrase_vectors").filter("track = 'concern'").withColumnRenamed("phrase_id", "concern_id")
 
 
+#: Forest of the whole lists: most vectors' tenth neighbour is far away, and a hash brings far ones together less often.
+LIST_TREES, LIST_TILE = 24, 2048
+
+
 def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """Up to ten most similar others of every usable concern vector, with a cosine of 0.6 or more."""
-    near = nearest_neighbours(_concern_vectors(spark, d), "concern_id", "embedding", DIM, k=10, floor=0.6)
+    """The ten most similar others of every usable concern vector, however far away they are."""
+    near = nearest_neighbours(_concern_vectors(spark, d), "concern_id", "embedding", DIM, k=10, trees=LIST_TREES, tile=LIST_TILE)
     return near.select(F.col("ident").alias("concern_id"), "place", F.col("other").alias("neighbour_id"), F.round("cosine", 6).alias("cosine"))
 
 

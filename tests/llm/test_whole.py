@@ -4,6 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from themeweave.llm.clusters import similarity_clusters
 from themeweave.llm.queries import QUERIES
 
 
@@ -26,3 +27,17 @@ def test_every_vector_has_its_ten_neighbours(spark, sf, concerns):
     assert len(rows) == 10 * len(ids) and len({(r.concern_id, r.place) for r in rows}) == len(rows)
     hits = sum(g[np.searchsorted(ids, r.concern_id), np.searchsorted(ids, r.neighbour_id)] >= tenth[np.searchsorted(ids, r.concern_id)] - 1e-6 for r in rows)
     assert hits >= 0.99 * len(rows)
+
+
+def test_a_track_is_reduced_by_its_own_directions(spark):
+    """Densities in one track don't depend on another track being there."""
+    rng = np.random.default_rng(4)
+    dim, scale = 40, np.r_[np.full(20, 1.0), np.full(20, 0.1)]
+    a = np.repeat(rng.standard_normal((30, dim)) * scale, 3, axis=0) + 0.02 * rng.standard_normal((90, dim))
+    b = np.repeat(rng.standard_normal((30, dim)) * scale[::-1], 3, axis=0) + 0.02 * rng.standard_normal((90, dim))
+    rows = [("concern", i, x.tolist()) for i, x in enumerate(b, 1)]
+    more = [("benefit", i, x.tolist()) for i, x in enumerate(a, 1)]
+    run = lambda r: {x.ident: x.density for x in similarity_clusters(spark.createDataFrame(r, "track string, id bigint, v array<float>"), "track", "id", "v", dim, components=(1,)).collect() if x.track == "concern"}
+    alone, beside = run(rows), run(rows + more)
+    assert alone.keys() == beside.keys() and len(alone) == 90
+    assert np.allclose([alone[k] for k in alone], [beside[k] for k in alone], atol=0.05)

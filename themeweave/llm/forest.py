@@ -76,8 +76,8 @@ def _spread(batches: Iterator[pa.RecordBatch], dim: int, trees: int, bits: int,
             )
 
 
-def windows(batches: Iterator[pa.RecordBatch], dim: int, tile: int, half: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Tiles of sorted rows (tree, prefix, ident, half): (first, end, identifiers, units) where rows
+def windows(batches: Iterator[pa.RecordBatch], dim: int, tile: int, half: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """Tiles of sorted rows (tree, prefix, ident, half): (tree, first, end, identifiers, units) where rows
     first..end are the tile's own and up to ``half`` on either side its surroundings; only a few tiles are held."""
     tree, ids, vec, done = None, np.empty(0, np.int64), np.empty((0, dim), np.float16), 0
     for b in batches:
@@ -89,28 +89,28 @@ def windows(batches: Iterator[pa.RecordBatch], dim: int, tile: int, half: int) -
             if lo == hi:
                 continue
             if trees[lo] != tree:
-                yield from _rest(ids, vec, done, tile, half)
+                yield from _rest(tree, ids, vec, done, tile, half)
                 tree, ids, vec, done = trees[lo], ids[:0], vec[:0], 0
             ids, vec = np.concatenate([ids, all_ids[lo:hi]]), np.concatenate([vec, all_vec[lo:hi]])
             while len(ids) - done >= tile + half:
                 a = max(0, done - half)
-                yield done - a, done - a + tile, ids[a : done + tile + half], vec[a : done + tile + half].astype(np.float32)
+                yield tree, done - a, done - a + tile, ids[a : done + tile + half], vec[a : done + tile + half].astype(np.float32)
                 done += tile
                 drop = max(0, done - half)
                 ids, vec, done = ids[drop:], vec[drop:], done - drop
-    yield from _rest(ids, vec, done, tile, half)
+    yield from _rest(tree, ids, vec, done, tile, half)
 
 
-def _rest(ids: np.ndarray, vec: np.ndarray, done: int, tile: int, half: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _rest(tree: int | None, ids: np.ndarray, vec: np.ndarray, done: int, tile: int, half: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
     while done < len(ids):
         end = min(done + tile, len(ids))
         a, z = max(0, done - half), min(end + half, len(ids))
-        yield done - a, end - a, ids[a:z], vec[a:z].astype(np.float32)
+        yield tree, done - a, end - a, ids[a:z], vec[a:z].astype(np.float32)
         done = end
 
 
 def _nearest(batches: Iterator[pa.RecordBatch], dim: int, tile: int, k: int, floor: float) -> Iterator[pa.RecordBatch]:
-    for first, end, ids, u in windows(batches, dim, tile, tile // 2):
+    for _, first, end, ids, u in windows(batches, dim, tile, tile // 2):
         sims = u[first:end] @ u.T
         sims[np.arange(end - first), np.arange(first, end)] = -2
         n = min(k, len(ids) - 1)

@@ -41,3 +41,16 @@ def test_a_track_is_reduced_by_its_own_directions(spark):
     alone, beside = run(rows), run(rows + more)
     assert alone.keys() == beside.keys() and len(alone) == 90
     assert np.allclose([alone[k] for k in alone], [beside[k] for k in alone], atol=0.05)
+
+
+def test_a_set_wider_than_a_tile_stays_whole(spark):
+    rng = np.random.default_rng(6)
+    dim, sizes = 24, [150, 90, 40, 3]
+    centres = rng.standard_normal((len(sizes), dim))
+    truth = np.repeat(np.arange(len(sizes)), sizes)
+    v = centres[truth] + 0.15 * rng.standard_normal((len(truth), dim))
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert ((u @ u.T >= 0.75) == (truth[:, None] == truth)).all()
+    df = spark.createDataFrame([("concern", i, x.tolist()) for i, x in enumerate(v)], "track string, id bigint, v array<float>")
+    got = {r.ident: r["first"] for r in similarity_clusters(df, "track", "id", "v", dim, components=(1,), passes=1, tile=16).collect()}
+    assert got == {i: int(np.flatnonzero(truth == t)[0]) for i, t in enumerate(truth)}

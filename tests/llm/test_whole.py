@@ -2,6 +2,8 @@
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from themeweave.llm.clusters import similarity_clusters
@@ -54,3 +56,23 @@ def test_a_set_wider_than_a_tile_stays_whole(spark):
     df = spark.createDataFrame([("concern", i, x.tolist()) for i, x in enumerate(v)], "track string, id bigint, v array<float>")
     got = {r.ident: r["first"] for r in similarity_clusters(df, "track", "id", "v", dim, components=(1,), passes=1, tile=16).collect()}
     assert got == {i: int(np.flatnonzero(truth == t)[0]) for i, t in enumerate(truth)}
+
+
+def test_pairs_of_a_dense_bundle(spark, tmp_path):
+    """A third of the vectors in one bundle of different vectors, far more than a tile holds."""
+    rng = np.random.default_rng(8)
+    n, dim = 30_000, 96
+    v = rng.standard_normal((n, dim))
+    v[: n // 3] = v[0] + 0.15 * rng.standard_normal((n // 3, dim))
+    v = v.astype(np.float32)
+    table = pa.table({"track": ["concern"] * n, "phrase_id": pa.array(range(n), pa.int64()), "embedding": pa.array(list(v), pa.list_(pa.float32()))})
+    pq.write_table(table, tmp_path / "phrase_vectors.parquet")
+    got = {tuple(r) for r in QUERIES["p3_found"](spark, str(tmp_path)).collect()}
+    u = v[: n // 3] / np.linalg.norm(v[: n // 3], axis=1, keepdims=True)
+    some = rng.permutation(n // 3)[:500]
+    g = u[some] @ u.T
+    g[np.arange(500), some] = -2
+    near = np.argpartition(-g, 10, axis=1)[:, :10]
+    want = {(min(int(a), int(b)), max(int(a), int(b))) for a, bs in zip(some, near) for b in bs if u[a] @ u[b] >= 0.955}
+    assert len(want & got) >= 0.95 * len(want) > 0
+    print("bundle recall", len(want & got) / len(want))

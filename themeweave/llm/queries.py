@@ -38,7 +38,7 @@ def _concern_vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "phrase_vectors").filter("track = 'concern'").withColumnRenamed("phrase_id", "concern_id")
 
 
-#: Forest of the whole lists: most vectors' tenth neighbour is far away, and a hash brings far ones together less often.
+#: Forest of the concerns: most vectors' tenth neighbour is far away, and a hash brings far ones, or those of one dense bundle, together less often.
 LIST_TREES, LIST_TILE = 24, 2048
 
 
@@ -53,7 +53,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
     Pairs below the floor never outrank one above it, so the lists are cut at the floor early.
     """
-    near = nearest_neighbours(_concern_vectors(spark, d), "concern_id", "embedding", DIM, k=10, floor=0.955)
+    near = nearest_neighbours(_concern_vectors(spark, d), "concern_id", "embedding", DIM, k=10, floor=0.955, trees=LIST_TREES, tile=LIST_TILE)
     return near.select(F.least("ident", "other").alias("concern_id_a"), F.greatest("ident", "other").alias("concern_id_b")).distinct()
 
 

@@ -12,3 +12,8 @@ def test_every_benefit_cluster_is_profiled(spark, sf):
     got = {r.cluster_id: (r["size"], r.n_technologies) for r in rows}
     assert len(got) == len(rows) and max(want) >= 75
     assert got == {c: (0, 0) for c in range(75)} | want
+
+
+def test_kmeans_and_sweep_use_the_reference_counts(spark, sf):
+    assert QUERIES["kmeans"](spark, sf).select("cluster_id").distinct().count() == 75
+    assert [r.k for r in QUERIES["k_sweep"](spark, sf).orderBy("k").collect()] == [60, 75, 90]

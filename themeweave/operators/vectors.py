@@ -112,7 +112,7 @@ def exemplars(df: DataFrame, ident: str, vector: str, cluster: str, cents: DataF
     return x.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).select(cluster, "place", ident, "similarity")
 
 
-def kmeans(df: DataFrame, ident: str, vector: str, k: int, *, seed: int = 42, starts: int = 3, max_iter: int = 100) -> tuple[DataFrame, DataFrame]:
+def kmeans(df: DataFrame, ident: str, vector: str, k: int, *, seed: int = 42, starts: int = 10, max_iter: int = 300) -> tuple[DataFrame, DataFrame]:
     """(assignments (ident, cluster_id), centroids (cluster_id, centroid)) of the best of ``starts`` runs on normalised vectors."""
     x = df.select(ident, array_to_vector(l2_normalize(vector)).alias("features")).cache()
     try:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from themeweave.operators import metrics as M, robustness as R, shares as S, temporal as Y, vectors as V
-from themeweave.plans.inputs import BR, TARGET, bridge, chunks, ph, phrases, r6, vectors
+from themeweave.plans.inputs import BR, K, TARGET, bridge, chunks, ph, phrases, r6, vectors
 from themeweave.plans.theme_queries import C, T, _VAR, rounded, variants
 from themeweave.session import cut, table
 
@@ -155,19 +155,19 @@ def _(s, d):
 
 @q("kmeans")
 def _(s, d):
-    return V.kmeans(vectors(s, d), "phrase_id", "embedding", 20, starts=1, max_iter=20)[0]
+    return V.kmeans(vectors(s, d), "phrase_id", "embedding", K)[0]
 
 
 @q("run_sensitivity")
 def _(s, d):
     x = cut(_members(s, d))
-    out = R.run_sensitivity(x, "concern", 15, target=TARGET, base_centroids=_cents(s, d), bridge=bridge(phrases(s, d)))
+    out = R.run_sensitivity(x, "concern", K, target=TARGET, base_centroids=_cents(s, d), bridge=bridge(phrases(s, d)))
     return out["lens_salience"]
 
 
 @q("k_sweep")
 def _(s, d):
-    return R.k_sweep(cut(_members(s, d)), "concern", (10, 15, 20))
+    return R.k_sweep(cut(_members(s, d)), "concern", starts=10)
 
 
 @q("prompt_agreement", f"""WITH {_VAR}, {_CENT}, v AS (SELECT variant, chunk_id, phrase_idx, c FROM ph JOIN cen USING (cluster_id)), al AS (SELECT chunk_id FROM ch),

@@ -100,12 +100,15 @@ def fingerprint(sal: DataFrame, tech: str, cluster: str, target: str) -> DataFra
 
 
 def shared_top(df: DataFrame, profile: DataFrame, cluster: str, n: int = 20, *, cross_cutting_only: bool = False) -> DataFrame:
-    """(cluster, prevalence, entropy_raw) of the ``n`` most prevalent clusters; ties by entropy, then id."""
+    """(cluster, prevalence, entropy_raw) of the ``n`` most prevalent clusters; ties by entropy, then id.
+
+    Both keys are compared to nine places: the last digits of a sum of doubles depend on its order.
+    """
     c = counts(df, cluster)
     total = c.agg(F.sum("n").alias("total"))
     keep = profile.filter("is_cross_cutting") if cross_cutting_only else profile
     x = c.join(keep.select(cluster, "entropy_raw"), cluster).crossJoin(F.broadcast(total))  # one row
-    return x.select(cluster, (F.col("n") / F.col("total")).alias("prevalence"), "entropy_raw").orderBy(F.desc("prevalence"), F.desc("entropy_raw"), cluster).limit(n)
+    return x.select(cluster, (F.col("n") / F.col("total")).alias("prevalence"), "entropy_raw").orderBy(F.desc(F.round("prevalence", 9)), F.desc(F.round("entropy_raw", 9)), cluster).limit(n)
 
 
 def stable_core(profile: DataFrame, cluster: str, quantile: float = 0.75, annotate: int = 12) -> DataFrame:
@@ -217,10 +220,14 @@ def prompt_agreement(phrases: DataFrame, chunks: DataFrame, vector: str, *, thre
     return y.groupBy("variant_a", "variant_b").agg(F.count("*").alias("n_chunks"), F.avg(F.when(same, 1.0).otherwise(0.0)).alias("yield_agreement"), F.count("agree").alias("n_both"), F.avg("agree").alias("phrase_agreement"))
 
 
-def variant_summary(diagnostics: DataFrame, ari: DataFrame, distinctiveness: DataFrame, name_parts: dict[str, str], variant: str = "variant") -> DataFrame:
-    """Per variant: diagnostics, agreement with the baseline, and the summed differences of lenses whose name contains a part (column -> part)."""
-    named = [F.sum(F.when(F.col("lens").contains(part), F.col("diff_tech"))).alias(column) for column, part in name_parts.items()]
+def variant_summary(diagnostics: DataFrame, ari: DataFrame, distinctiveness: DataFrame, name_parts: dict[str, str], variant: str = "variant", *, baseline: str | None = None) -> DataFrame:
+    """Per variant: diagnostics, agreement with the baseline (1.0 for the ``baseline`` itself), and for each column of ``name_parts`` the
+    differences ``<column>_tech`` and ``<column>_doc`` of the first lens by name that contains the part, case aside (null if none does)."""
+    first = lambda part, value: F.min_by(value, F.when(F.lower("lens").contains(part.lower()), F.col("lens")))
+    named = [first(part, f"diff_{basis}").alias(f"{column}_{basis}") for column, part in name_parts.items() for basis in ("tech", "doc")]
     out = diagnostics.join(ari.select(variant, "ari"), variant, "left")
+    if baseline is not None:
+        out = out.withColumn("ari", F.when(F.col(variant) == baseline, 1.0).otherwise(F.col("ari")))
     return out.join(distinctiveness.groupBy(variant).agg(*named), variant, "left") if named else out
 
 

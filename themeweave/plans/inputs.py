@@ -70,6 +70,9 @@ PROFILE = """sz AS (SELECT cluster_id, count(*) AS size FROM ph WHERE cluster_id
            coalesce(h, 0) / ln((SELECT count(DISTINCT technology_meta) FROM ph)) AS entropy_norm
            FROM range(75) r(i) LEFT JOIN sz ON sz.cluster_id = i LEFT JOIN ce ON ce.cluster_id = i)"""
 
+# every cluster that occurs, beside 0 to 74
+PROFILE_ALL = PROFILE.replace("FROM range(75) r(i)", "FROM (SELECT i FROM range(75) r(i) UNION SELECT cluster_id FROM sz) r(i)")
+
 
 def label_sql(c: str = "cluster_id") -> str:
     return f"CASE WHEN {c} % 3 <> 0 THEN 'Theme ' || {c} || repeat(' of the dialogue', CAST((({c} % 4) + 4) % 4 AS BIGINT)) END"

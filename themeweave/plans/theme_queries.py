@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from themeweave.operators import metrics as M, robustness as R, shares as S, trace as X
-from themeweave.plans.inputs import BR, CH, K, LENS_SAL, PROFILE, SAL, TARGET, bridge, chunks, extractions, label_sql, labels, ph, phrases, pretty_sql, r6
+from themeweave.plans.inputs import BR, CH, K, LENS_SAL, PROFILE, PROFILE_ALL, SAL, TARGET, bridge, chunks, extractions, label_sql, labels, ph, phrases, pretty_sql, r6
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -31,7 +31,7 @@ PCOLS = f"cluster_id, size, n_technologies, {r6('entropy_raw')} AS entropy_raw,
 
 for _t in M.TRACKS:
 
-    @q(f"cluster_profile_{_t}", f"WITH {ph(_t)}, {PROFILE} SELECT {PCOLS} FROM prof")
+    @q(f"cluster_profile_{_t}", f"WITH {ph(_t)}, {PROFILE if _t == 'concern' else PROFILE_ALL} SELECT {PCOLS} FROM prof")
     def _(s, d, t=_t):
         # the number of benefit clusters grows with the rows
         return rounded(M.cluster_profile(phrases(s, d, t), C, T, K, beyond=t == "benefit"), "entropy_raw", "entropy_norm")
@@ -203,7 +203,7 @@ def _(s, d):
 
 
 _TOP = f"""c0 AS (SELECT cluster_id, count(*) AS n FROM ph WHERE cluster_id IS NOT NULL GROUP BY ALL),
-  top AS (SELECT cluster_id, n / (SELECT sum(n) FROM c0) AS prevalence, entropy_raw FROM c0 JOIN prof USING (cluster_id) ORDER BY prevalence DESC, entropy_raw DESC, cluster_id LIMIT 20)"""
+  top AS (SELECT cluster_id, n / (SELECT sum(n) FROM c0) AS prevalence, entropy_raw FROM c0 JOIN prof USING (cluster_id) ORDER BY round(n / (SELECT sum(n) FROM c0), 9) DESC, round(entropy_raw, 9) DESC, cluster_id LIMIT 20)"""
 
 
 @q("shared_top20", f"WITH {ph()}, {PROFILE}, {_TOP} SELECT cluster_id, {r6('prevalence')} AS prevalence, {r6('entropy_raw')} AS entropy_raw FROM top")
@@ -340,16 +340,20 @@ def _(s, d):
 
 @q("variant_summary", f"""WITH {_VAR}, {_VL}, {_FA}, pr AS (SELECT y.variant, x.cluster_id AS a, y.cluster_id AS b FROM fa x JOIN fa y USING (chunk_id) WHERE x.variant = 'A' AND y.variant <> 'A'), {_ari('pr', 'variant')},
   g AS (SELECT t.variant, t.technology_meta, l.lens, tech_n, coalesce(n, 0) AS n FROM (SELECT DISTINCT variant, technology_meta, tech_n FROM vs) t CROSS JOIN (SELECT DISTINCT lens FROM vs) l LEFT JOIN vn USING (variant, technology_meta, lens)),
-  x AS (SELECT variant, lens, coalesce(max(n / tech_n) FILTER (technology_meta = '{TARGET}'), 0) - coalesce(avg(n / tech_n) FILTER (technology_meta <> '{TARGET}'), 0) AS diff FROM g GROUP BY ALL),
-  d AS (SELECT variant, {r6("sum(diff) FILTER (lens LIKE '%3%')")} AS diff_three, {r6("sum(diff) FILTER (lens LIKE '%_9%')")} AS diff_nine FROM x GROUP BY ALL)
-  SELECT p.variant, count(*) AS n_phrases, any_value(ari) AS ari, any_value(diff_three) AS diff_three, any_value(diff_nine) AS diff_nine FROM ph p LEFT JOIN ari USING (variant) LEFT JOIN d USING (variant) GROUP BY p.variant""")
+  x AS (SELECT variant, lens, coalesce(max(n / tech_n) FILTER (technology_meta = '{TARGET}'), 0) - coalesce(avg(n / tech_n) FILTER (technology_meta <> '{TARGET}'), 0) AS diff,
+        coalesce(max(n / tech_n) FILTER (technology_meta = '{TARGET}'), 0) - coalesce(sum(n) FILTER (technology_meta <> '{TARGET}') / sum(tech_n) FILTER (technology_meta <> '{TARGET}'), 0) AS diff_doc FROM g GROUP BY ALL),
+  d AS (SELECT variant, {r6("min_by(diff, lens) FILTER (lens ILIKE '%NS_3%')")} AS three_tech, {r6("min_by(diff_doc, lens) FILTER (lens ILIKE '%NS_3%')")} AS three_doc, {r6("min_by(diff, lens) FILTER (lens ILIKE '%absent%')")} AS absent_tech FROM x GROUP BY ALL),
+  k AS (SELECT count(DISTINCT chunk_id) AS k FROM ch)
+  SELECT p.variant, count(*) AS n_phrases, round(count(DISTINCT p.chunk_id) / any_value(k), 6) AS coverage, round(count(*) / any_value(k), 6) AS density, CASE WHEN p.variant = 'A' THEN 1.0 ELSE any_value(ari) END AS ari, any_value(three_tech) AS three_tech, any_value(three_doc) AS three_doc, any_value(absent_tech) AS absent_tech
+  FROM ph p CROSS JOIN k LEFT JOIN ari USING (variant) LEFT JOIN d USING (variant) GROUP BY p.variant""")
 def _(s, d):
     v = variants(s, d)
     names = F.explode(F.array(*map(F.lit, "ABC"))).alias("variant")
     diag = S.variant_diagnostics(chunks(s, d).select("chunk_id", names), v)
     dist = S.variant_distinctiveness(S.variant_lens_share(v, bridge(v), T, C), T, TARGET)
-    out = S.variant_summary(diag, S.variant_ari(S.first_assignment(v, C), "A", C), dist, {"diff_three": "3", "diff_nine": "_9"})
-    return rounded(out.select("variant", "n_phrases", "ari", "diff_three", "diff_nine"), "ari", "diff_three", "diff_nine")
+    out = S.variant_summary(diag, S.variant_ari(S.first_assignment(v, C), "A", C), dist, {"three": "NS_3", "absent": "absent"}, baseline="A")
+    numbers = ("coverage", "density", "ari", "three_tech", "three_doc", "absent_tech")
+    return rounded(out.select("variant", "n_phrases", *numbers), *numbers)
 
 
 @q("figure3_data", f"{_DIS} SELECT cluster_id, {pretty_sql()} AS label, direction, round(100 * target_share, 2) + 0.0 AS target_pct, round(100 * tech_weighted, 2) + 0.0 AS others_pct, round(100 * difference, 2) + 0.0 AS difference_pp FROM {_ends(10, 10)}")

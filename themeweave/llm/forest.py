@@ -6,18 +6,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from themeweave.session import broadcast_if_small, cut
 
-TREES = 8
+TREES = 12
 #: Bits of a hash string; with so many, prefixes of any useful length can be told apart.
 BITS = 60
-#: Vectors of a sorted array that are compared together, with half as many on either side.
-TILE = 512
+#: Vectors of a leaf cell of a tree, and the most cells the directory is planned for (larger collections get larger cells).
+CELL = 256
+MAX_CELLS = 100_000
+#: Chance, by the angle of a vector's k-th nearest, that a neighbour of that nearness is met in some tree.
+RECALL = 0.995
+#: Vectors of the root that are compared together; a collection of at most ``ROOT_ROWS`` is compared whole.
+ROOT_BLOCK = 65_536
+ROOT_ROWS = 4_096
+#: (vector, cell) visits made up at a time.
+VISITS = 200_000
 SEED = 20_040_517
-#: Rounding of the half-precision vectors that are sorted; candidates this far below a floor are still verified.
-SLACK = 0.002
+#: Rounding of the one-byte vectors that are searched; candidates this far below a bound are still verified, and so many more are kept.
+SLACK = 0.004
+SPARE = 6
 MAX_BROADCAST = 100_000
 
 
@@ -30,14 +40,16 @@ def usable_vectors(df: DataFrame, ident: str, vector: str, dim: int, keep: tuple
 
 
 def distinct_vectors(usable: DataFrame, track: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(reps, copies): one row ([track], ident, vec) per distinct vector [of a track], named by its smallest
-    identifier, and (rep, ident) of every identifier whose vector others hold too. Repeated rows vanish here."""
+    """(reps, copies): one row ([track], ident, vec, asked) per distinct vector [of a track], named by its smallest
+    identifier and asked if any holder is, and (rep, ident, asked) of every identifier whose vector others hold too.
+    Without a column ``asked`` every row is. Repeated rows vanish here."""
     by = [track] if track else []
-    keyed = usable.select(*by, "ident", "vec", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(7), "vec").alias("h2"))
-    groups = cut(keyed.groupBy(*by, "h1", "h2").agg(F.min("ident").alias("rep"), F.max("ident").alias("last"), F.first("vec").alias("vec")))
+    flagged = usable if "asked" in usable.columns else usable.withColumn("asked", F.lit(True))
+    keyed = flagged.select(*by, "ident", "vec", "asked", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(7), "vec").alias("h2"))
+    groups = cut(keyed.groupBy(*by, "h1", "h2").agg(F.min("ident").alias("rep"), F.max("ident").alias("last"), F.first("vec").alias("vec"), F.max("asked").alias("asked")))
     several = groups.filter("rep <> last").select(*by, "h1", "h2", "rep")
-    copies = keyed.select(*by, "ident", "h1", "h2").join(broadcast_if_small(several, MAX_BROADCAST), [*by, "h1", "h2"]).select("rep", "ident").distinct()
-    return groups.select(*by, F.col("rep").alias("ident"), "vec"), copies
+    copies = keyed.select(*by, "ident", "asked", "h1", "h2").join(broadcast_if_small(several, MAX_BROADCAST), [*by, "h1", "h2"]).groupBy("rep", "ident").agg(F.max("asked").alias("asked"))
+    return groups.select(*by, F.col("rep").alias("ident"), "vec", "asked"), copies
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -61,92 +73,254 @@ def prefixes(units: np.ndarray, normals: np.ndarray, trees: int, bits: int) -> n
     return signs.astype(np.int64) @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))
 
 
-def _spread(batches: Iterator[pa.RecordBatch], dim: int, trees: int, bits: int, seed: int) -> Iterator[pa.RecordBatch]:
-    normals = planes(dim, trees, bits, seed)
+def codes_of(units: np.ndarray) -> np.ndarray:
+    """One byte per number; the length is restored on reading."""
+    return np.rint(units * (127 / np.abs(units).max(axis=1, keepdims=True))).astype(np.int8)
+
+
+def from_codes(raw: bytes, dim: int) -> np.ndarray:
+    u = np.frombuffer(raw, np.int8).reshape(-1, dim).astype(np.float32)
+    return u / np.linalg.norm(u, axis=1, keepdims=True)
+
+
+def _spread(batches: Iterator[pa.RecordBatch], dim: int, trees: int, seed: int) -> Iterator[pa.RecordBatch]:
+    normals = planes(dim, trees, BITS, seed)
     for b in batches:
         for lo in range(0, b.num_rows, 2000):
             part = b.slice(lo, 2000)
             u = unit(matrix(part.column(1), dim))
-            keys = prefixes(u, normals, trees, bits)
-            raw = u.astype(np.float16)
-            packed = [r.tobytes() for r in raw]
+            packed = [r.tobytes() for r in codes_of(u)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(np.arange(trees, dtype=np.int32), len(u))), pa.array(keys.T.ravel()), pa.concat_arrays([part.column(0)] * trees), pa.array(packed * trees, pa.binary())],
-                names=["tree", "prefix", "ident", "half"],
+                [pa.array(np.repeat(np.arange(trees, dtype=np.int32), len(u))), pa.array(prefixes(u, normals, trees, BITS).T.ravel()), pa.concat_arrays([part.column(0)] * trees), pa.array(packed * trees, pa.binary()), pa.concat_arrays([part.column(2)] * trees)],
+                names=["tree", "prefix", "ident", "code", "asked"],
             )
 
 
-def windows(batches: Iterator[pa.RecordBatch], dim: int, tile: int, half: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
-    """Tiles of sorted rows (tree, prefix, ident, half): (tree, first, end, identifiers, units) where rows
-    first..end are the tile's own and up to ``half`` on either side its surroundings; only a few tiles are held."""
-    tree, ids, vec, done = None, np.empty(0, np.int64), np.empty((0, dim), np.float16), 0
+def trie_cells(keys: np.ndarray, size: int, bits: int = BITS) -> list[tuple[int, int]]:
+    """Ranges of the sorted ``keys`` with at most ``size`` rows each, cut where the shortest prefixes differ."""
+    out, todo = [], [(0, len(keys), 0)]
+    while todo:
+        lo, hi, depth = todo.pop()
+        if hi - lo <= size:
+            if hi > lo:
+                out.append((lo, hi))
+        elif depth == bits:  # one whole string: cut anywhere
+            out += [(a, min(a + size, hi)) for a in range(lo, hi, size)]
+        else:
+            shift = bits - depth - 1
+            border = ((int(keys[lo]) >> (shift + 1)) << (shift + 1)) | (1 << shift)
+            mid = lo + int(np.searchsorted(keys[lo:hi], border))
+            todo += [(mid, hi, depth + 1), (lo, mid, depth + 1)]
+    return sorted(out)
+
+
+def _best(sims: np.ndarray, bound: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the at most ``most`` largest entries of each row that reach the row's bound."""
+    hit = sims >= bound[:, None]
+    many = np.flatnonzero(hit.sum(axis=1) > most)
+    if len(many):
+        near = np.argpartition(sims[many], -most, axis=1)[:, -most:]
+        hit[many] = False
+        hit[many[:, None], near] = True
+    return np.nonzero(hit)
+
+
+CELL_ROWS = "cell long, tree int, first long, last long, n int, ids binary, codes binary, own binary, other binary, cosine binary"
+
+
+def _grow(batches: Iterator[pa.RecordBatch], dim: int, size: int, most: int, floor: float) -> Iterator[pa.RecordBatch]:
+    """Cells of a partition of the sorted arrays, each with the nearest that its asked vectors find inside."""
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return
+    rows = pa.Table.from_batches(parts).combine_chunks()
+    trees, keys, ids = (rows.column(c).to_numpy() for c in ("tree", "prefix", "ident"))
+    asked = rows.column("asked").to_numpy(zero_copy_only=False).astype(bool)
+    codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.int8).reshape(-1, dim)
+    at = TaskContext.get().partitionId() << 32
+    cuts = [0, *(np.flatnonzero(np.diff(trees)) + 1).tolist(), len(trees)]
+    for lo, hi in zip(cuts, cuts[1:]):
+        for a, z in trie_cells(keys[lo:hi], size):
+            a, z = a + lo, z + lo
+            raw = codes[a:z].tobytes()
+            ask = np.flatnonzero(asked[a:z])
+            own = other = np.empty(0, np.int64)
+            cos = np.empty(0, np.float32)
+            if len(ask) and z - a > 1:
+                u = from_codes(raw, dim)
+                sims = u[ask] @ u.T
+                sims[np.arange(len(ask)), ask] = -2
+                r, c = _best(sims, np.full(len(ask), max(floor, -1.5), np.float32), most)
+                own, other, cos = ids[a:z][ask[r]], ids[a:z][c], sims[r, c]
+            at += 1
+            yield pa.RecordBatch.from_pylist([{"cell": at, "tree": int(trees[a]), "first": int(keys[a]), "last": int(keys[z - 1]), "n": z - a, "ids": ids[a:z].tobytes(), "codes": raw, "own": own.tobytes(), "other": other.tobytes(), "cosine": cos.astype(np.float32).tobytes()}], schema=_CELL_SCHEMA)
+
+
+_CELL_SCHEMA = pa.schema([("cell", pa.int64()), ("tree", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("n", pa.int32()), ("ids", pa.binary()), ("codes", pa.binary()), ("own", pa.binary()), ("other", pa.binary()), ("cosine", pa.binary())])
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        own, other, cos = (np.frombuffer(b"".join(b.column(c).to_pylist()), t) for c, t in (("own", np.int64), ("other", np.int64), ("cosine", np.float32)))
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(other), pa.array(-cos.astype(np.float64))], names=["ident", "other", "far"])
+
+
+class Directory:
+    """First and last string, size and number of every cell, by tree."""
+
+    def __init__(self, rows: list, trees: int, total: int):
+        self.total = total
+        self.trees = []
+        for t in range(trees):
+            own = sorted((r.first, r.last, r.cell, r.n) for r in rows if r.tree == t)
+            first, last, cell, n = (np.array(x, np.int64) for x in zip(*own)) if own else (np.empty(0, np.int64),) * 4
+            self.trees.append((first, last, cell, np.concatenate([[0], np.cumsum(n)])))
+        # the root is read from the first tree's cells, in blocks
+        size = self.trees[0][3]
+        self.block = size[:-1] // ROOT_BLOCK
+        self.blocks = int(self.block[-1]) + 1 if len(self.block) else 0
+
+    def node(self, tree: int, keys: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Range of the cells that meet each key's prefix of the given length, and their number of vectors."""
+        first, last, _, size = self.trees[tree]
+        shift = BITS - depth
+        low = (keys >> shift) << shift
+        a, z = np.searchsorted(last, low), np.searchsorted(first, low + (np.int64(1) << shift) - 1, side="right")
+        return a, z, size[z] - size[a]
+
+
+def depth_for(cosine: np.ndarray, trees: int, recall: float) -> np.ndarray:
+    """Longest prefix at which a neighbour of the given cosine still shares a node in some tree with the wanted chance."""
+    same = 1 - np.arccos(np.clip(cosine, -1, 1)) / np.pi
+    with np.errstate(divide="ignore"):
+        depth = np.log(1 - (1 - recall) ** (1 / trees)) / np.log(np.clip(same, 1e-12, 1 - 1e-9))
+    return np.clip(np.floor(depth), 0, BITS).astype(np.int64)
+
+
+VISIT_ROWS = "bucket long, kind int, ids binary, codes binary, bound binary"
+_VISIT_SCHEMA = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("ids", pa.binary()), ("codes", pa.binary()), ("bound", pa.binary())])
+
+
+def _visits(batches: Iterator[pa.RecordBatch], dim: int, trees: int, seed: int, recall: float, shared) -> Iterator[pa.RecordBatch]:
+    """Ascends all trees together: each vector's visits to the cells of its nodes at the depth that its k-th nearest demands."""
+    normals, where = planes(dim, trees, BITS, seed), shared.value
     for b in batches:
-        trees = b.column("tree").to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(np.diff(trees)) + 1).tolist(), len(trees)]
-        all_ids = b.column("ident").to_numpy(zero_copy_only=False)
-        all_vec = np.frombuffer(b"".join(b.column("half").to_pylist()), np.float16).reshape(-1, dim)
-        for lo, hi in zip(cuts, cuts[1:]):
-            if lo == hi:
+        for lo in range(0, b.num_rows, 2000):
+            part = b.slice(lo, 2000)
+            ids, kth = part.column(0).to_numpy(), part.column(2).to_numpy().astype(np.float32)
+            u = unit(matrix(part.column(1), dim))
+            keys, codes = prefixes(u, normals, trees, BITS), codes_of(u)
+            depth = depth_for(kth, trees, recall)
+            ranges = [where.node(t, keys[:, t], depth) for t in range(trees)]
+            root = (sum(n for _, _, n in ranges) >= where.total) | (where.total <= ROOT_ROWS)
+            for g in range(where.blocks if root.any() else 0):
+                yield _visit(-1 - g, ids[root], codes[root], kth[root])
+            whom, cell = [], []
+            for t, (a, z, _) in enumerate(ranges):
+                # the own cell has been searched, if it is plain which one it is
+                ones, onez, _ = where.node(t, keys[:, t], np.full(len(ids), BITS))
+                known = onez - ones == 1
+                n = np.where(root, 0, z - a)
+                q = np.repeat(np.arange(len(ids)), n)
+                c = np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
+                new = ~(known[q] & (c == ones[q]))
+                whom.append(q[new])
+                cell.append(where.trees[t][2][c[new]])
+            q, c = np.concatenate(whom), np.concatenate(cell)
+            for k in range(0, len(q), VISITS):
+                order = np.argsort(c[k : k + VISITS], kind="stable") + k
+                ends = [*(np.flatnonzero(np.diff(c[order])) + 1).tolist(), len(order)]
+                start = 0
+                for end in ends:
+                    who = q[order[start:end]]
+                    yield _visit(int(c[order[start]]), ids[who], codes[who], kth[who])
+                    start = end
+
+
+def _visit(bucket: int, ids: np.ndarray, codes: np.ndarray, bound: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((bucket, 1, ids.astype(np.int64).tobytes(), codes.tobytes(), bound.astype(np.float32).tobytes()), _VISIT_SCHEMA.types)], schema=_VISIT_SCHEMA)
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """Cells as what is visited: under their own number, those of the first tree also under their block of the root."""
+    where = shared.value
+    block = dict(zip(where.trees[0][2].tolist(), where.block.tolist()))
+    for b in batches:
+        cells = b.column("cell").to_pylist()
+        roots = [(i, -1 - block[c]) for i, c in enumerate(cells) if c in block]
+        take = pa.array([*range(len(cells)), *(i for i, _ in roots)], pa.int64())
+        n = len(take)
+        yield pa.RecordBatch.from_arrays([pa.array([*cells, *(g for _, g in roots)], pa.int64()), pa.array([0] * n, pa.int32()), b.column("ids").take(take), b.column("codes").take(take), pa.array([b""] * n, pa.binary())], schema=_VISIT_SCHEMA)
+
+
+def _compare(batches: Iterator[pa.RecordBatch], dim: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Visitors against the vectors of their bucket; rows come sorted by bucket, the bucket's own vectors first."""
+    now, ids, parts = None, [], []
+    for b in batches:
+        for bucket, kind, raw_ids, raw, bound in zip(*(b.column(c).to_pylist() for c in range(5))):
+            if bucket != now:
+                now, ids, parts = bucket, [], []
+            if kind == 0:
+                ids.append(np.frombuffer(raw_ids, np.int64))
+                parts.append(from_codes(raw, dim))
                 continue
-            if trees[lo] != tree:
-                yield from _rest(tree, ids, vec, done, tile, half)
-                tree, ids, vec, done = trees[lo], ids[:0], vec[:0], 0
-            ids, vec = np.concatenate([ids, all_ids[lo:hi]]), np.concatenate([vec, all_vec[lo:hi]])
-            while len(ids) - done >= tile + half:
-                a = max(0, done - half)
-                yield tree, done - a, done - a + tile, ids[a : done + tile + half], vec[a : done + tile + half].astype(np.float32)
-                done += tile
-                drop = max(0, done - half)
-                ids, vec, done = ids[drop:], vec[drop:], done - drop
-    yield from _rest(tree, ids, vec, done, tile, half)
-
-
-def _rest(tree: int | None, ids: np.ndarray, vec: np.ndarray, done: int, tile: int, half: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
-    while done < len(ids):
-        end = min(done + tile, len(ids))
-        a, z = max(0, done - half), min(end + half, len(ids))
-        yield tree, done - a, end - a, ids[a:z], vec[a:z].astype(np.float32)
-        done = end
-
-
-def _nearest(batches: Iterator[pa.RecordBatch], dim: int, tile: int, k: int, floor: float) -> Iterator[pa.RecordBatch]:
-    for _, first, end, ids, u in windows(batches, dim, tile, tile // 2):
-        sims = u[first:end] @ u.T
-        sims[np.arange(end - first), np.arange(first, end)] = -2
-        n = min(k, len(ids) - 1)
-        if n <= 0:
-            continue
-        rows = np.flatnonzero(sims.max(axis=1) >= floor)
-        if not len(rows):
-            continue
-        near = np.argpartition(sims[rows], -n, axis=1)[:, -n:] if len(ids) > n + 1 else np.argsort(sims[rows], axis=1)[:, -n:]
-        # the same pair gets the same value in every tree
-        cos = np.round(np.einsum("rd,rkd->rk", u[first + rows].astype(np.float64), u[near].astype(np.float64)), 6)
-        keep = cos >= floor
-        own = np.repeat(ids[first + rows], keep.sum(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(ids[near][keep]), pa.array(-cos[keep])], names=["ident", "other", "far"])
-
-
-def forest_lists(reps: DataFrame, dim: int, k: int, *, floor: float = -1.0, trees: int = TREES, tile: int = TILE, seed: int = SEED) -> DataFrame:
-    """(ident, other, cosine): up to ``k`` nearest distinct vectors found for each of ``reps`` (ident, vec).
-
-    Each tree is one array of all hash strings in order, cut into ranges over the cluster. The
-    strings that share the longest prefix with a vector's stand next to it, so its tile holds the
-    longest matches first and shorter prefixes on both sides, as deep as the tile reaches; the
-    candidates of all trees are then merged and the nearest kept. Cost per vector is
-    fixed (trees x tile), whatever a prefix's share of the data is.
-    """
-    kind = dict(reps.dtypes)["ident"]
-    spread = reps.select(F.col("ident").cast("long").alias("ident"), "vec").mapInArrow(lambda it: _spread(it, dim, trees, BITS, seed), "tree int, prefix long, ident long, half binary")
-    ordered = spread.repartitionByRange("tree", "prefix", "ident").sortWithinPartitions("tree", "prefix", "ident")
-    found = ordered.mapInArrow(lambda it: _nearest(it, dim, tile, k, floor), "ident long, other long, far double")
-    merged = found.groupBy("ident").agg(F.slice(F.sort_array(F.collect_set(F.struct("far", "other"))), 1, k).alias("near"))  # at most 2 x trees x k entries
-    near = merged.select(F.col("ident").cast(kind).alias("ident"), F.explode("near").alias("x"))
-    return near.select("ident", F.col("x.other").cast(kind).alias("other"), (-F.col("x.far")).alias("cosine"))
+            if len(ids) > 1:
+                ids, parts = [np.concatenate(ids)], [np.concatenate(parts)]
+            if not ids:
+                continue
+            who, q, low = np.frombuffer(raw_ids, np.int64), from_codes(raw, dim), np.frombuffer(bound, np.float32) - np.float32(SLACK)
+            for r in range(0, len(who), 1024):
+                for c in range(0, len(ids[0]), 8192):
+                    sims = q[r : r + 1024] @ parts[0][c : c + 8192].T
+                    x, y = _best(sims, low[r : r + 1024], most)
+                    own, other = who[r + x], ids[0][c + y]
+                    keep = own != other
+                    if keep.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(own[keep]), pa.array(other[keep]), pa.array(-sims[x, y][keep].astype(np.float64))], names=["ident", "other", "far"])
+
+
+def _nearest_of(found: DataFrame, most: int) -> DataFrame:
+    """(ident, near): the ``most`` nearest of (ident, other, far), each other once."""
+    return found.groupBy("ident").agg(F.slice(F.sort_array(F.collect_set(F.struct(F.round("far", 5).alias("far"), "other"))), 1, 2 * most).alias("near"))
+
 
+def forest_lists(reps: DataFrame, dim: int, k: int, *, floor: float = -1.0, trees: int = TREES, cell: int = CELL, recall: float = RECALL, seed: int = SEED) -> DataFrame:
+    """(ident, other): the nearest distinct vectors found for each asked one of ``reps`` (ident, vec, asked), somewhat more than ``k``.
 
-def with_copies(lists: DataFrame, copies: DataFrame, k: int) -> DataFrame:
-    """Neighbour lists of distinct vectors as lists of all identifiers (ident, place, other, cosine).
+    Each tree is one array of all vectors' hash strings in order, cut into ranges over the cluster and there, at
+    prefixes of whatever length holds few enough vectors, into cells.
+
+    1. Descent: every asked vector meets those with the longest common prefixes, the others of its cell in each tree.
+    2. Synchronous ascent: from the cosine of its k-th nearest so far (or the floor, if that is higher) follows how short
+       a prefix must be for a neighbour that near to share it in some tree with the wanted chance; the vector then visits
+       all cells under that prefix in all trees, however many vectors a dense prefix holds, across the ranges' borders.
+       Where these nodes hold as many vectors as the root, it visits the root instead, one tree's cells in blocks.
+
+    The directory of the cells (numbers only) is broadcast; its size is bounded by ``MAX_CELLS`` times a small factor.
+    """
+    spark, most = reps.sparkSession, k + SPARE
+    reps = reps.select(F.col("ident").cast("long").alias("ident"), "vec", "asked")
+    total = reps.count()
+    size = max(cell, -(-total * trees // MAX_CELLS))
+    ways = max(spark.sparkContext.defaultParallelism, -(-total * trees // 200_000))
+    spread = reps.mapInArrow(lambda it: _spread(it, dim, trees, seed), "tree int, prefix long, ident long, code binary, asked boolean")
+    ordered = spread.repartitionByRange(ways, "tree", "prefix", "ident").sortWithinPartitions("tree", "prefix", "ident")
+    cells = cut(ordered.mapInArrow(lambda it: _grow(it, dim, size, most, floor - SLACK), CELL_ROWS))
+    shared = spark.sparkContext.broadcast(Directory(cells.select("tree", "first", "last", "cell", "n").collect(), trees, total))
+    inside = cells.filter(F.length("own") > 0).select("own", "other", "cosine").mapInArrow(_listed, "ident long, other long, far double")
+    first = cut(_nearest_of(inside, most))
+    kth = F.greatest(F.coalesce(-F.get("near", F.lit(k - 1))["far"], F.lit(-1.0)), F.lit(floor)).cast("float")
+    asking = reps.filter("asked").select("ident", "vec").join(first, "ident", "left").select("ident", "vec", kth.alias("kth"))
+    visits = cut(asking.mapInArrow(lambda it: _visits(it, dim, trees, seed, recall, shared), VISIT_ROWS))
+    visited = F.broadcast(visits.select("bucket").distinct())  # no more than there are cells and blocks
+    data = cells.select("cell", "ids", "codes").mapInArrow(lambda it: _buckets(it, shared), VISIT_ROWS).join(visited, "bucket", "left_semi")
+    met = data.unionByName(visits).repartition(ways, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(lambda it: _compare(it, dim, most), "ident long, other long, far double")
+    every = met.unionByName(first.select("ident", F.explode("near").alias("x")).select("ident", "x.other", "x.far"))
+    return _nearest_of(every, most).select("ident", F.explode("near").alias("x")).select("ident", F.col("x.other").alias("other")).distinct()
+
+
+def with_copies(lists: DataFrame, reps: DataFrame, copies: DataFrame, k: int) -> DataFrame:
+    """Neighbour lists of distinct vectors as lists of all asked identifiers (ident, place, other, cosine).
 
     An identifier's nearest are its exact copies (cosine 1) and then the members of the
     neighbouring vectors; of equals the smaller identifiers come first. No more than k + 1 members of a
@@ -154,12 +328,12 @@ def with_copies(lists: DataFrame, copies: DataFrame, k: int) -> DataFrame:
     """
     by_rep = Window.partitionBy("rep").orderBy("ident")
     first = cut(copies.withColumn("salt", F.pmod(F.xxhash64("ident"), F.lit(32))).withColumn("r", F.row_number().over(Window.partitionBy("rep", "salt").orderBy("ident"))).filter(F.col("r") <= k + 1).withColumn("r", F.row_number().over(by_rep)).filter(F.col("r") <= k + 1).select("rep", F.col("ident").alias("member")))
-    own = first.select("rep").distinct().select(F.col("rep").alias("ident"), F.col("rep").alias("other"), F.lit(1.0).alias("cosine"))
+    own = first.select(F.col("rep").alias("ident")).distinct().join(reps.filter("asked").select("ident"), "ident", "left_semi").select("ident", F.col("ident").alias("other"), F.lit(1.0).alias("cosine"))
     offered = lists.unionByName(own).join(broadcast_if_small(first, MAX_BROADCAST), F.col("other") == F.col("rep"), "left").select("ident", "cosine", F.coalesce("member", "other").alias("other"))
     ranked = offered.withColumn("r", F.row_number().over(Window.partitionBy("ident").orderBy(F.desc("cosine"), "other"))).filter(F.col("r") <= k + 1).drop("r")
-    members = copies.filter("rep <> ident").select(F.col("rep").alias("of"), F.col("ident").alias("member"))
+    members = copies.filter("asked AND rep <> ident").select(F.col("rep").alias("of"), F.col("ident").alias("member"))
     more = ranked.join(members, F.col("ident") == F.col("of")).select(F.col("member").alias("ident"), "cosine", "other")
-    every = ranked.unionByName(more).filter("ident <> other")
+    every = ranked.join(copies.filter("NOT asked").select("ident"), "ident", "left_anti").unionByName(more).filter("ident <> other")
     return every.withColumn("place", F.row_number().over(Window.partitionBy("ident").orderBy(F.desc("cosine"), "other"))).filter(F.col("place") <= k).select("ident", "place", "other", "cosine")
 
 
@@ -172,17 +346,22 @@ def exact_cosine(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return both.withColumn("cosine", dot("_a", "_b") / F.sqrt(dot("_a", "_a") * dot("_b", "_b"))).drop("_a", "_b")
 
 
-def nearest_neighbours(df: DataFrame, ident: str, vector: str, dim: int, *, k: int = 10, floor: float = -1.0, trees: int = TREES, tile: int = TILE, seed: int = SEED) -> DataFrame:
+def nearest_neighbours(df: DataFrame, ident: str, vector: str, dim: int, *, k: int = 10, floor: float = -1.0, queries: str | None = None, trees: int = TREES, cell: int = CELL, recall: float = RECALL, seed: int = SEED) -> DataFrame:
     """(ident, place, other, cosine): for every usable vector its ``k`` most similar others with a cosine of ``floor`` or more.
 
-    Approximate: a neighbour is missed if no tree brings both close (recall is measured in
-    the tests). Cosines are exact. Ties go to the smaller identifier.
+    ``queries`` is a condition on the columns of ``df`` that chooses the vectors whose lists are wanted; they are always
+    compared with all vectors. Approximate: ``recall`` is the chance that a neighbour as near as the k-th is met (nearer
+    ones are likelier; see ``forest_lists``). Cosines are exact. Ties go to the smaller identifier.
     Defined cases: null, short, zero, NaN or infinite vectors and null identifiers are left out;
     repeated rows count once; exact copies are each other's neighbours with cosine 1; a vector
     without another usable one has no row; an empty table gives no row; other columns are ignored.
     Identifiers must be integers.
     """
-    reps, copies = distinct_vectors(usable_vectors(df, ident, vector, dim))
-    lists = forest_lists(reps, dim, k, floor=floor - SLACK, trees=trees, tile=tile, seed=seed)
-    exact = exact_cosine(lists, reps).filter(F.col("cosine") >= floor)
-    return with_copies(exact.select("ident", "other", "cosine"), copies, k)
+    kind = dict(df.dtypes)[ident]
+    asked = F.coalesce(F.expr(queries), F.lit(False)) if queries else F.lit(True)
+    rows = df.select(F.col(ident).alias("ident"), F.col(vector).alias("vec"), asked.alias("asked"))
+    reps, copies = distinct_vectors(usable_vectors(rows, "ident", "vec", dim, ("asked",)))
+    lists = forest_lists(reps, dim, k, floor=floor, trees=trees, cell=cell, recall=recall, seed=seed)
+    typed = lists.select(F.col("ident").cast(kind).alias("ident"), F.col("other").cast(kind).alias("other"))
+    exact = exact_cosine(typed, reps).filter(F.col("cosine") >= floor)
+    return with_copies(exact.select("ident", "other", "cosine"), reps, copies, k)

@@ -16,7 +16,7 @@ from themeweave.llm.replies import defective_replies
 from themeweave.llm.resolve import unmatched_spellings
 from themeweave.llm.split import split_oversized
 from themeweave.llm.topn import top_n_per_group
-from themeweave.session import cut, table
+from themeweave.session import broadcast_if_small, cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,29 +38,25 @@ def _concern_vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "phrase_vectors").filter("track = 'concern'").withColumnRenamed("phrase_id", "concern_id")
 
 
-#: Forest of the concerns: most vectors' tenth neighbour is far away, and a hash brings far ones, or those of one dense bundle, together less often.
-LIST_TREES, LIST_TILE = 24, 2048
-
-
 def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """The ten most similar others of every usable concern vector, however far away they are."""
-    near = nearest_neighbours(_concern_vectors(spark, d), "concern_id", "embedding", DIM, k=10, trees=LIST_TREES, tile=LIST_TILE)
+    """The ten most similar others, however far away, of every usable concern vector whose identifier is divisible by 20, against all."""
+    near = nearest_neighbours(_concern_vectors(spark, d), "concern_id", "embedding", DIM, k=10, queries="concern_id % 20 = 0")
     return near.select(F.col("ident").alias("concern_id"), "place", F.col("other").alias("neighbour_id"), F.round("cosine", 6).alias("cosine"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of concerns of which one is among the ten most similar of the other, at a cosine of 0.955 or more.
 
-    Pairs below the floor never outrank one above it, so the lists are cut at the floor early.
+    All vectors are asked. Pairs below the floor never outrank one above it, so nothing nearer than the floor is left out.
     """
-    near = nearest_neighbours(_concern_vectors(spark, d), "concern_id", "embedding", DIM, k=10, floor=0.955, trees=LIST_TREES, tile=LIST_TILE)
+    near = nearest_neighbours(_concern_vectors(spark, d), "concern_id", "embedding", DIM, k=10, floor=0.955)
     return near.select(F.least("ident", "other").alias("concern_id_a"), F.greatest("ident", "other").alias("concern_id_b")).distinct()
 
 
 def _sized_clusters(spark: SparkSession, d: str) -> DataFrame:
     members = cut(similarity_clusters(table(spark, d, "phrase_vectors"), "track", "phrase_id", "embedding", DIM, floor=0.75))
     sizes = members.groupBy("track", "first").agg(F.count("*").alias("size")).filter("size >= 3")
-    return members.join(sizes, ["track", "first"])
+    return members.join(broadcast_if_small(sizes, 1_000_000), ["track", "first"])
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

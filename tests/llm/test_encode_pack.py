@@ -7,7 +7,7 @@ from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from themeweave.llm.encode import TOKENIZER, encode_texts, encoder, token_sizes
-from themeweave.llm.pack import _limits, best_fit, pack_items
+from themeweave.llm.pack import best_fit, limits, pack_items
 
 
 @pytest.fixture(scope="module")
@@ -71,6 +71,22 @@ def test_best_fit_keeps_every_limit(sizes):
     assert max(load.values()) <= cap and max(n.values()) <= most and max(square.values()) <= attention
 
 
+def test_items_and_attention_bind():
+    """Every limit holds, and each of them changes the placement that tokens alone would give."""
+    rng = np.random.default_rng(1)
+    sizes = np.minimum(rng.lognormal(5.1, 0.9, 3_000).astype(int), 2_048)
+    cap = 2_048
+    most, attention = limits(cap)
+    place = best_fit(sizes, cap, most, attention)
+    load, square, n = (np.bincount(place, weights=w) for w in (sizes, sizes.astype(float) ** 2, np.ones(len(sizes))))
+    assert load.max() <= cap and n.max() <= most and (square[n > 1] <= attention).all()
+    assert sizes.sum() / (cap * len(load)) >= 0.98
+    tokens = best_fit(sizes, cap, 10**9, 1e18, (1.0, 0.0, 0.0))
+    assert (np.bincount(tokens).max() > most) and (np.bincount(tokens, weights=sizes.astype(float) ** 2)[np.bincount(tokens) > 1] > attention).any()
+    assert (place != tokens).mean() > 0.02
+    assert (best_fit(sizes, cap, most, 1e18) != tokens).any() and (best_fit(sizes, cap, 10**9, attention) != tokens).any()
+
+
 def test_packing(spark):
     rng = random.Random(9)
     sizes = {i: 0 if i % 50 == 0 else rng.choice([rng.randrange(2, 120), rng.randrange(2, 60)]) for i in range(4000)}
@@ -78,7 +94,7 @@ def test_packing(spark):
     rows = [(i, s, "x") for i, s in sizes.items()] + [(1, sizes[1], "again"), (9005, None, "n"), (None, 5, "n")]
     items = spark.createDataFrame(rows, "id bigint, size int, container string")
     kinds = spark.createDataFrame([("s", 100), ("m", 400), ("none", None), (None, 5)], "kind string, cap int")
-    got = pack_items(items, "id", "size", kinds, "kind", "cap", shard_items=700).collect()
+    got = pack_items(items, "id", "size", kinds, "kind", "cap", shard_items=700, tokens_per_item=4, attention_share=1.0).collect()
     for kind, cap in (("s", 100), ("m", 400)):
         mine = [r for r in got if r.kind == kind]
         boxes, pieces = defaultdict(list), defaultdict(list)
@@ -91,7 +107,7 @@ def test_packing(spark):
             p.sort()
             assert sum(s for _, s in p) == sizes.get(i, 0) and [k for k, _ in p] == list(range(len(p)))
             assert len(p) == 1 if sizes.get(i, 0) <= cap else all(s == cap for _, s in p[:-1])
-        assert max(map(sum, boxes.values())) <= cap and max(map(len, boxes.values())) <= _limits(cap)[0]
+        assert max(map(sum, boxes.values())) <= cap and max(map(len, boxes.values())) <= limits(cap, 4)[0]
         assert sum(sizes.values()) / (cap * len(boxes)) > 0.97
     assert pack_items(items.limit(0), "id", "size", kinds, "kind", "cap").count() == 0
     assert pack_items(items, "id", "size", kinds.limit(0), "kind", "cap").count() == 0

@@ -1,8 +1,9 @@
 import math
+import random
 
 from hypothesis import given, settings, strategies as st
 
-from themeweave.llm.split import split_oversized, split_spans
+from themeweave.llm.split import _Borders, _plan, split_oversized, split_spans
 
 ALPHABET = st.sampled_from(list("ab .,\n!?é中。") + ["\n\n", "👩‍🔬", "é", "word "])
 
@@ -52,3 +53,12 @@ def test_dataframe(spark):
     assert [r.piece for r in one] == list(range(len(one)))
     assert "".join(r.text[r.new_from - r.start :] for r in one) == "word " * 900
     assert split_oversized(df.limit(0), ["chunk_id", "source_file"], "text").count() == 0
+
+
+def test_no_plan_with_fewer_pieces_fits():
+    rng = random.Random(4)
+    for _ in range(60):
+        text = "".join(rng.choice(["word ", "longer words, ", "an end. ", "x" * 90 + " ", "\n\n"]) for _ in range(rng.randrange(300, 900)))
+        pieces = check(text, 500, 60)
+        least = math.ceil((len(text) - 60) / 440)
+        assert not any(_plan(_Borders(text), len(text), count, 500, 60) for count in range(least, len(pieces)))

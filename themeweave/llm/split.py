@@ -65,7 +65,9 @@ def split_spans(text: str, limit: int, overlap: int) -> list[tuple[int, int, int
 
     The fewest pieces that can hold the text are given equal-length targets and each cut
     moves to the strongest boundary near its target; if a piece then breaks the limit, one
-    more piece is planned. A text of at most ``limit`` signs is one piece, an empty text none.
+    more piece is planned, so the result has the fewest pieces of any such plan. Where no plan fits because the overlap
+    leaves too little room for new text (an overlap of nearly the limit), pieces are filled one after the other.
+    A text of at most ``limit`` signs is one piece, an empty text none.
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and less than limit")
@@ -73,11 +75,10 @@ def split_spans(text: str, limit: int, overlap: int) -> list[tuple[int, int, int
     if n <= limit:
         return [(0, 0, n)] if n else []
     borders = _Borders(text)
-    count = math.ceil((n - overlap) / (limit - overlap))
-    for _ in range(12):
+    least = math.ceil((n - overlap) / (limit - overlap))
+    for count in range(least, 2 * least + 8):
         if spans := _plan(borders, n, count, limit, overlap):
             return spans
-        count += max(1, count // 8)
     return _filled(borders, n, limit, overlap)
 
 

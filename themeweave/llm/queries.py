@@ -101,11 +101,12 @@ def p7_scores(spark: SparkSession, d: str) -> DataFrame:
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Technologies held by at least 5 concerns of a cluster at 3 times their overall share or more.
 
-    Terms at 3 times their background keep at least 0.22 of their share as weight (own share 0.3), in
-    every iteration, so the weight selects the candidates and exact counts decide.
+    In the converged model a term at 3 times its background has the weight (3 x record size / own mass - rest) x background,
+    so the scores select; exact counts settle what lies on the border.
     """
-    scores = parsimonious_scores(term_counts(table(spark, d, "concerns"), "cluster_id", "technology_meta", "concern_id"), own_share=OWN_SHARE)
-    likely = scores.filter(F.col("weight") >= 0.2 * F.col("share"))
+    scores = parsimonious_scores(term_counts(table(spark, d, "concerns"), "cluster_id", "technology_meta", "concern_id"))
+    rest = (1 - OWN_SHARE) / OWN_SHARE
+    likely = scores.filter((F.col("weight") > 0) & (F.col("weight") >= (3 * F.col("record_n") / F.col("mass") - rest) * F.col("background") * (1 - 1e-6)))
     sure = likely.filter((F.col("n") >= 5) & (F.col("n") * F.col("total_n") >= 3 * F.col("term_n") * F.col("record_n")))
     return sure.select(F.col("record").alias("cluster_id"), F.col("term").alias("technology_meta"))
 
@@ -147,4 +148,12 @@ ORACLES: dict[str, str] = {
              t AS (SELECT technology_meta, count(*) AS t FROM c GROUP BY ALL)
         SELECT cluster_id, technology_meta FROM n JOIN k USING (cluster_id) JOIN t USING (technology_meta)
         WHERE n >= 5 AND n * (SELECT count(*) FROM c) >= 3 * t * k""",
+    # the fixed point of the model in closed form: terms by falling ratio keep a weight while the ratio exceeds the mass times 7/3
+    "p7_scores": """
+        WITH c AS (SELECT DISTINCT concern_id, cluster_id, technology_meta FROM concerns WHERE cluster_id IS NOT NULL AND technology_meta IS NOT NULL),
+             n AS (SELECT cluster_id, technology_meta, count(*) AS n FROM c GROUP BY ALL),
+             t AS (SELECT technology_meta, count(*) / (SELECT count(*) FROM c) AS b FROM c GROUP BY ALL),
+             x AS (SELECT *, sum(n) OVER w AS cn, sum(b) OVER w AS cb FROM n JOIN t USING (technology_meta) WINDOW w AS (PARTITION BY cluster_id ORDER BY n / b DESC, technology_meta)),
+             m AS (SELECT cluster_id, max_by(cn / (1 + 7 / 3 * cb), cn) AS mass FROM x WHERE n / b > 7 / 3 * cn / (1 + 7 / 3 * cb) GROUP BY ALL)
+        SELECT cluster_id, technology_meta, n, round(greatest(0, n / mass - 7 / 3 * b), 6) + 0.0 AS weight FROM x JOIN m USING (cluster_id)""",
 }

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -46,6 +47,15 @@ def test_pair_check_is_exact(public):
     assert 0 < sum(want) < len(want)
 
 
+def test_one_unbroken_word_of_a_million_signs(public):
+    rng = random.Random(7)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    began = time.time()
+    got = encoder(TOKENIZER).encode_batch([word])[0]
+    assert time.time() - began < 60
+    assert got[:200_000] == public.encode(word, add_special_tokens=False).ids[:200_000]
+
+
 def test_null_empty_special_long(spark, public):
     rows = [(1, None, 0), (2, "", 0), (3, "<|endoftext|> x", 0), (4, "a" * 40000, 0), (5, " \n ", 0)]
     df = spark.createDataFrame(rows, "doc_id int, text string, ids int")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -60,37 +61,46 @@ class Encoder:
         self.key, self.made = np.array(key, np.int64)[order], np.array(made, np.int64)[order]
         self.byte = [base[b] for b in range(256)]
         self.ids = {raw(t): i for t, i in vocab.items() if self.age[i] or len(t) == 1}
-        self.longest = max(map(len, self.ids))
         self.words: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[int, bool] = {}
         # a token that its own merges don't give can't be proposed
         odd = [t for t, i in self.ids.items() if len(t) > 1 and self._exact(t) != [i]]
         for t in odd:
             del self.ids[t]
+        # length of the longest token that begins with two bytes
+        self.reach: dict[bytes, int] = {}
+        for t in self.ids:
+            self.reach[t[:2]] = max(len(t), self.reach.get(t[:2], 1))
         self.find = regex.compile(WORDS).findall
 
     def _exact(self, word: bytes) -> list[int]:
+        """The word's ids by merging, always the earliest-learned pair, of equals the leftmost; n log n in the word's length."""
         ids = [self.byte[b] for b in word]
-        while len(ids) > 1:
-            best = min((m for m in map(self.merge.get, zip(ids, ids[1:])) if m), default=None)
-            if best is None:
-                break
-            out, k = [], 0
-            while k < len(ids):
-                if k + 1 < len(ids) and self.merge.get((ids[k], ids[k + 1])) == best:
-                    out.append(best[1])
-                    k += 2
-                else:
-                    out.append(ids[k])
-                    k += 1
-            ids = out
-        return ids
+        n = len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        get = self.merge.get
+        heap = [(m[0], k) for k, pair in enumerate(zip(ids, ids[1:])) if (m := get(pair))]
+        heapq.heapify(heap)
+        while heap:
+            age, k = heapq.heappop(heap)
+            if ids[k] < 0 or (r := after[k]) >= n or (m := get((ids[k], ids[r]))) is None or m[0] != age:
+                continue  # one of the pair has been merged meanwhile
+            ids[k], ids[r] = m[1], -1
+            after[k] = r = after[r]
+            if r < n:
+                before[r] = k
+                if m := get((ids[k], ids[r])):
+                    heapq.heappush(heap, (m[0], k))
+            if (left := before[k]) >= 0 and (m := get((ids[left], ids[k]))):
+                heapq.heappush(heap, (m[0], left))
+        return [i for i in ids if i >= 0]
 
     def _greedy(self, word: bytes) -> list[int]:
         out, at, n = [], 0, len(word)
+        ids, reach = self.ids, self.reach
         while at < n:
-            for end in range(min(n, at + self.longest), at, -1):
-                if (i := self.ids.get(word[at:end])) is not None:
+            for end in range(min(n, at + reach.get(word[at : at + 2], 1)), at, -1):
+                if (i := ids.get(word[at:end])) is not None:
                     out.append(i)
                     at = end
                     break

@@ -1,4 +1,9 @@
-from themeweave.llm.resolve import Resolver, edit_distance, resolve_column, unmatched_spellings
+import random
+import time
+
+from hypothesis import given, settings, strategies as st
+
+from themeweave.llm.resolve import Resolver, _tokens, edit_distance, resolve_column, unmatched_spellings
 
 ENTRIES = [(1, ("Artificial intelligence", "AI")), (2, ("Genome editing", "GE")), (3, ("Smart metering", None)), (4, ("Gene drives", None)), (5, ("Carbon capture", "CCS")), (6, ("Quantum computing", None)), (7, (None, None))]
 
@@ -20,6 +25,19 @@ def test_edit_distance():
     assert edit_distance("a", "zzzz", 2) == 3
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text("abc", max_size=9), st.text("abc", max_size=9))
+def test_edit_distance_against_the_table(a, b):
+    d = {(i, j): max(i, j) if not i or not j else 0 for i in range(len(a) + 1) for j in range(len(b) + 1)}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    assert edit_distance(a, b, 20) == d[len(a), len(b)]
+    assert edit_distance(a, b, 1) == min(d[len(a), len(b)], 2)
+
+
 def test_blocks_and_empty_list_agree(spark):
     values = spark.createDataFrame([("AI",), ("Carbon captur",), (None,), ("nothing at all",), ("quantum computing!",)], "v string")
     entries = spark.createDataFrame([(i, *n) for i, n in ENTRIES], "tech_id int, name string, short_name string")
@@ -36,3 +54,41 @@ def test_unmatched(spark):
     got = {tuple(r) for r in unmatched_spellings(df, "chunk_id", ["technology", "technology_meta"], entries, "tech_id", "name", ["short_name"]).collect()}
     assert got == {("c1", "technology", 1), ("c2", "technology", 4), ("c4", "technology", 0), ("c4", "technology_meta", 3)}
     assert unmatched_spellings(df.limit(0), "chunk_id", ["technology"], entries, "tech_id", "name").count() == 0
+
+
+def test_words_typed_around_many_entries_are_left_out(spark):
+    entries = spark.createDataFrame([(i, *n) for i, n in ENTRIES], "tech_id int, name string, short_name string")
+    values = [f"{n} zzpanel" for _, (n, _) in ENTRIES if n] + ["Quantm compting zzpanel", "Quantm compting steam zzpanel"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    got = {r.v: r.resolved for r in resolve_column(df, "v", entries, "tech_id", ["name", "short_name"]).collect()}
+    assert got["Quantm compting zzpanel"] == 6 and got["Quantm compting steam zzpanel"] == 0
+
+
+def test_a_long_list_costs_little_a_value():
+    rng = random.Random(1)
+    part = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3))
+    entries = [(i, (f"{part()}ing {part()}tion", None)) for i in range(1, 10_001)]
+    r = Resolver(entries)
+    began = time.time()
+    for i in range(0, 4000, 80):
+        name = entries[i][1][0]
+        assert r.resolve(name[:4] + name[5:])[1] == entries[i][0]
+    assert (time.time() - began) / 50 < 0.3
+
+
+def test_candidates_are_those_of_a_full_scan():
+    rng = random.Random(2)
+    names = ["solar roofing", "smart metering", "carbon capture", "quantum computing", "genome editing", "ocean fertilisation", "insect farming", "gene drives"]
+    r = Resolver([(i, (n,)) for i, n in enumerate(names, 1)])
+    for _ in range(2000):
+        v = list(rng.choice(names))
+        for _ in range(rng.randrange(4)):
+            v[rng.randrange(len(v))] = rng.choice("abcdefgh ")
+        words = _tokens("".join(v))
+        joined = "".join(words)
+        if len(joined) > 4:
+            near = set(r._near(joined, len(words)))
+            for k, (_, own, name, _) in enumerate(r.names):
+                most = max(len(joined), len(name)) // 5
+                if edit_distance(joined, name, most) <= most:
+                    assert k in near

@@ -2,7 +2,7 @@ import itertools
 
 from hypothesis import given, settings, strategies as st
 
-from themeweave.llm.looks import look_alikes, visual_form, visual_forms
+from themeweave.llm.looks import look_alike_classes, look_alikes, visual_form, visual_forms, visual_forms_of
 
 SAME = [
     ("ＡＢ１２，", "AB12,"), ("ﬁlm staﬀ", "film staff"), ("été", "été"), ("a b c\td\ne", "a b c d e"),
@@ -37,3 +37,22 @@ def test_pairs_against_brute_force(spark):
     assert look_alikes(df.limit(0), "doc_id", "text").count() == 0
     forms = {r.doc_id: r.form for r in visual_forms(df, "doc_id", "text").collect()}
     assert forms[7] is None and forms[6] == "" and forms[1] == "the long text"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=12), max_size=12), st.booleans())
+def test_together_as_one_by_one(texts, fold):
+    assert visual_forms_of(texts, fold) == {t: visual_form(t, fold) for t in texts}
+
+
+def test_letters_of_the_same_shape():
+    for a, b in (("ɑ", "a"), ("ɡ", "g"), ("ᴏ", "o"), ("ѵ", "v"), ("ꓮꓐꓚ", "ABC")):
+        assert visual_form(a) == visual_form(b)
+    assert visual_form("ı") != visual_form("i") and visual_form("é") != visual_form("e")
+
+
+def test_classes(spark):
+    rows = [(1, "Wind"), (2, "Wind"), (3, "Wіnd"), (4, "W\u200bind"), (5, "other"), (6, "other"), (7, None), (8, "\u200b"), (3, "Wіnd")]
+    got = {tuple(r) for r in look_alike_classes(spark.createDataFrame(rows, "id int, t string"), "id", "t").collect()}
+    assert got == {(i, 1, 3, 4) for i in (1, 2, 3, 4)}
+    assert look_alike_classes(spark.createDataFrame(rows, "id int, t string").limit(0), "id", "t").count() == 0

@@ -10,7 +10,7 @@ from themeweave.llm.clusters import similarity_clusters
 from themeweave.llm.distinct import OWN_SHARE, parsimonious_scores, term_counts
 from themeweave.llm.encode import encode_texts, token_sizes
 from themeweave.llm.forest import nearest_neighbours
-from themeweave.llm.looks import look_alikes, visual_forms
+from themeweave.llm.looks import look_alike_classes, look_alikes, visual_forms
 from themeweave.llm.pack import pack_items
 from themeweave.llm.replies import defective_replies
 from themeweave.llm.resolve import unmatched_spellings
@@ -132,7 +132,12 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return look_alikes(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_neighbours, p4_found, p5_found, p5_pieces, p6_found, p6_clusters, p7_found, p7_scores, p8_ids, p9_packing, p10_found, p10_forms)}
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each such document with its class of look-alikes, for tables where the pairs would be too many."""
+    return look_alike_classes(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_neighbours, p4_found, p5_found, p5_pieces, p6_found, p6_clusters, p7_found, p7_scores, p8_ids, p9_packing, p10_found, p10_classes, p10_forms)}
 
 ORACLES: dict[str, str] = {
     "p1_found": """

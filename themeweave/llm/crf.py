@@ -7,11 +7,12 @@ import zlib
 import numpy as np
 
 #: Size of the hashed feature space.
-SPACE = 1 << 14
+SPACE = 1 << 16
 
 
-def feature(name: str) -> int:
-    return zlib.crc32(name.encode("utf-8", "surrogatepass")) & (SPACE - 1)
+def feature(name: str, half: int = 1) -> int:
+    """Place of a feature in the hashed space; the features of the two halves never meet."""
+    return half * (SPACE // 2) + (zlib.crc32(name.encode("utf-8", "surrogatepass")) & (SPACE // 2 - 1))
 
 
 def _by_length(lengths: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -42,10 +43,11 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def train(rows: np.ndarray, features: np.ndarray, starts: np.ndarray, lengths: np.ndarray, tags: np.ndarray, n_tags: int, *, steps: int = 100, rate: float = 0.15, decay: float = 1e-4, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def train(rows: np.ndarray, features: np.ndarray, starts: np.ndarray, lengths: np.ndarray, tags: np.ndarray, n_tags: int, *, steps: int = 100, rate: float = 0.15, decay: float = 1e-4, weights: np.ndarray | None = None, tied: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(emission weights, transitions, begin, end) by gradient ascent on the penalised likelihood.
 
     ``rows``/``features``: position and hashed feature of each observation; ``weights``: of each sequence.
+    The tags of ``tied`` share their weights of the features in the first half of the space, which can't tell them apart then.
     """
     n = len(tags)
     weights = np.ones(len(lengths)) if weights is None else weights
@@ -81,6 +83,8 @@ def train(rows: np.ndarray, features: np.ndarray, starts: np.ndarray, lengths: n
             g_end += ((gold[at[:, -1]] - marginal[at[:, -1]]) * sw[:, None]).sum(0)
         off = (gold - marginal) * weight_of[:, None]
         g_w = np.stack([np.bincount(features, off[rows, t], minlength=SPACE) for t in range(n_tags)], axis=1)
+        if tied:
+            g_w[: SPACE // 2, tied] = g_w[: SPACE // 2, tied].mean(axis=1, keepdims=True)
         for p, g, m, v in zip(params, (g_w, g_move, g_begin, g_end), first, second):
             g = g / total - decay * p
             m += 0.1 * (g - m)

@@ -79,7 +79,8 @@ def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Each defective reply with its one defect."""
-    return defective_replies(table(spark, d, "extractions"), "extraction_id", "chunk_id", "raw_phrases", "sentinel_returned", table(spark, d, "chunks"), "text", table(spark, d, "documents"), "text", "lang")
+    replies = table(spark, d, "extractions").withColumn("dropped_phrases", F.transform("dropped_by_filter", lambda x: x["phrase"]))
+    return defective_replies(replies, "extraction_id", "chunk_id", "raw_phrases", "sentinel_returned", table(spark, d, "chunks"), "text", table(spark, d, "documents"), "text", "lang", error="error", dropped="dropped_phrases")
 
 
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 import json
+import pickle
+import random
 import re
 import uuid
 from collections import Counter
@@ -16,59 +18,65 @@ from pyspark.sql import DataFrame, functions as F
 
 from themeweave.llm import crf
 from themeweave.llm.langs import LanguageModel
+from themeweave.session import broadcast_if_small, cut
 
 #: Language, words and places of each word of a prompt.
 Facts = tuple[int, list[str], dict[str, list[int]]]
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
 #: Replies and labelled texts that the models are fitted on (bounded samples by hash order).
-SAMPLE_REPLIES = 12_000
+SAMPLE_REPLIES = 5_000
 SAMPLE_TEXTS = 6_000
-#: Well-formed replies of the sample that enter the field's training; all suspicious ones do.
-SAMPLE_PLAIN = 2_000
-#: Weight of a suspicious reply in training; they are rare.
-DEFECT_WEIGHT = 5.0
-#: Consecutive words shared with the prompt that make a copy, and the least phrase length for which words are compared.
+#: Damaged replies of each kind made of the sample, their weight in training, and steps of the field's trainings, between which it clears the sample.
+DAMAGED = 700
+DAMAGE_WEIGHT = 8.0
+STEPS = (50, 40, 60)
+#: Consecutive words shared with the prompt that make a copy; phrases of fewer words than ``LONG_WORDS`` are judged without their prompt's words.
 COPY_WORDS = 12
-#: Least advantage, in nats per trigram, of another language over the prompt's.
-LANGUAGE_MARGIN = 0.35
+LONG_WORDS = 10
+#: Leads of another language over the prompt's, in nats per trigram, at which the feature steps up.
+LEADS = (0.05, 0.12, 0.25)
+#: Least step of a clause that makes a reply foreign.
+FOREIGN_STEP = 3
+#: How often the features of a reply's end and of a clause's place count beside those of its words, of which there are many more.
+END_TIMES, PLACE_TIMES = 3, 4
+#: Clauses of more words are known by their beginning and end, not by all their words.
+SHORT_WORDS = 16
 #: Share of a reply's words that must be tagged as refusal.
 REFUSAL_COVERAGE = 0.5
+#: Places at which a word must stand inside a text or reply to count as whole.
+WHOLE_PLACES = 2
+#: Shares of its places at which a word ends a phrase, between which words are told apart.
+END_SHARES = (0.003, 0.02)
+#: Sets of prompts' keys, words and languages up to this number are broadcast.
+MAX_BROADCAST = 500_000
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
-VOCABULARY_LANGUAGE = "en"
-#: Share of its places at which three letters end a word, below which they count as no ending.
-RARE_ENDING = 0.15
 
 _WORD = re.compile(r"[^\W_]+")
 _CLAUSE = re.compile(r"(?<=[.!?;:])\s+|\n+")
-# Ways to say no in a first person's or an office's voice; labels for training only.
-_REFUSING = re.compile(
-    r"\b(?:i|i'm|i am|i'd|my|me|we)\b[^.]*\b(?:can't|cannot|can not|unable|won't|not able|not allowed?|do not allow|decline|refuse|refuses|prefer not|may not|must not|don't think|do not think|unanswered|guidelines|not comfortable)\b"
-    r"|\b(?:i have to|i must) (?:decline|refuse)\b|\bagainst my\b|\bno output can\b|\bdeclining is\b|\bnot something i\b|\bas an? (?:ai|assistant|language model)\b|\bonly a text tool\b",
-    re.I,
-)
-# Words after which a phrase can't end.
-_OPEN_WORDS = frozenset(
-    "of to the a an and or with for in on by about from at as into without any when who which that than over before because despite through between among per via if while such but nor so could would should might "
-    "de du des la le les un une pour avec sur et ou der die das und oder für mit von zu über ein eine el los las y o con para por en una yr yn ar i am neu gan dros".split()
-)
-_BROKEN_END = re.compile(r"(?:\w-|(?:^|\s|\w)(?:…|\.\.\.)|\s[–—-])\s*$")
 _NOTHING = re.compile(r"^\W*no[\W_]*(?:concern|benefit)s?\W*$", re.I)
-_REFUSAL_HINT = re.compile(r"\b(?:i|i'm|i'd|my|me)\b", re.I)
+_WORD_SQL = r"[\p{L}\p{N}]+"
+_LAST_SQL = rf"({_WORD_SQL})[^\p{{L}}\p{{N}}]*$"
+# Parts of refusals; the field is trained on sentences made of them.
+REFUSALS = {
+    "open": ["", "", "", "Sorry, ", "I'm sorry, but ", "I am sorry: ", "Apologies – ", "My apologies: ", "Unfortunately, ", "Regrettably, ", "I regret that ", "Thank you, however ", "With respect, ", "Hello! ", "As an AI, ", "As a language model, ", "As an assistant, ", "To be clear, ", "I understand the task, but ", "Thank you for sharing. "],
+    "able": ["I can't", "I cannot", "I can not", "I am unable to", "I'm unable to", "I won't", "I will not", "I won't be able to", "I am not able to", "I'm not able to", "I would rather not", "I'd rather not", "I'd prefer not to", "I must decline to", "I have to decline to", "I refuse to", "I must refuse to", "I have to refuse to", "I may not", "I must not", "I am not allowed to", "I do not feel able to", "I don't think I should", "we cannot", "we are unable to"],
+    "do": ["help with", "assist with", "answer", "process", "extract anything from", "extract opinions from", "summarise", "list anything from", "comment on", "judge", "discuss", "analyse", "continue with", "say anything about", "work on", "take on", "provide an answer to", "give an answer to", "comply with"],
+    "what": ["this", "that", "this text", "this passage", "that passage", "this request", "the request", "this paragraph", "these views", "what people said here", "the content", "sensitive passages like this", "such material"],
+    "whole": ["no output can be given for {what}", "no answer can be provided for {what}", "this request goes against my guidelines", "answering would go against my guidelines", "declining is best here", "declining is the only option for {what}", "it is not something I can do", "this is something I have to decline", "I must refuse this one", "I will leave {what} unanswered", "I will leave {what} unanswered for safety reasons", "declining is the safest option here", "it is not something I feel able to assist with", "I have to decline", "I must decline this request", "I am only a text tool and may not judge {what}", "my guidelines do not allow it", "{what} must be left unanswered", "I am not comfortable with {what}", "it is against my policy to {do} {what}", "I prefer to leave {what} unanswered"],
+    "close": ["", "", "", ".", ".", ". Please share a different text.", ". Please ask something else.", ". Is there anything else?"],
+}
+# What stands at the end of a text that breaks off.
+BREAKS = ("", "", "", "...", "…", "-", " –", ",", " (", ";")
 
 
 @functools.lru_cache(maxsize=2)
-def _whole_words(path: str) -> tuple[frozenset[str], frozenset[str], dict[str, float]]:
-    """Whole words of a public (English) vocabulary, their proper beginnings, and how often a word ends after given last letters."""
+def _vocabulary(path: str) -> tuple[frozenset[str], frozenset[str]]:
+    """Whole words of a public (English) vocabulary, and their proper beginnings."""
     with open(path, encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
     words = {w[:-4] for w in vocab if w.endswith("</w>") and w[:-4].isalpha() and w[:-4].isascii() and len(w) > 6}
-    inside, ends = Counter(), Counter()
-    for w in words:
-        for size in (2, 3):
-            inside.update(w[i : i + size] for i in range(len(w) - size + 1))
-            ends[w[-size:]] += 1
-    return frozenset(words), frozenset(w[:k] for w in words for k in range(4, len(w))), {g: ends[g] / n for g, n in inside.items() if n >= 20}
+    return frozenset(words), frozenset(w[:k] for w in words for k in range(3, len(w)))
 
 
 def longest_run(text_at: dict[str, list[int]], text: list[str], phrase: list[str], enough: int) -> int:
@@ -98,7 +106,28 @@ class Model:
     begin: np.ndarray
     end: np.ndarray
     vocabulary: str
-    complete: frozenset[str]
+
+
+@dataclass
+class Reply:
+    """A reply as the tagger sees it; ``whole``: 1 if its last word also stands inside texts or replies, 2 if it also ends phrases that others follow."""
+
+    phrases: list[str | None]
+    language: int = -1
+    text: str | None = None
+    whole: int = 0
+    error: str | None = None
+    dropped: frozenset[str] = frozenset()
+
+
+@dataclass
+class Clause:
+    text: str
+    words: int
+    run: int
+    lead: int  # 0 the prompt's language or undecided, up to len(LEADS) clearly another
+    last: bool
+    phrase: int
 
 
 class Tagger:
@@ -106,46 +135,42 @@ class Tagger:
 
     REMEMBERED = 100_000
 
-    def __init__(self, language: LanguageModel, vocabulary: str, complete: frozenset[str], model: Model | None = None):
+    def __init__(self, language: LanguageModel, vocabulary: str, model: Model | None = None):
         self.language, self.model = language, model
-        self.words, self.beginnings, self.endings = _whole_words(vocabulary)
-        self.complete = complete
+        self.vocabulary, self.beginnings = _vocabulary(vocabulary)
         self.phrases: dict[str, tuple] = {}
-        self.lexical: dict[str, tuple[np.ndarray, bool]] = {}
+        self.lexical: dict[str, np.ndarray] = {}
 
     # -- clauses and features
 
-    def _cut_off(self, words: list[str], clause: str) -> bool:
-        """Whether the last word is none but the beginning of one, or ends as words of the vocabulary hardly ever do."""
-        last = words[-1] if words else ""
-        if not (clause.rstrip().endswith(last) and len(last) >= 4 and last.isascii() and last.isalpha() and last.islower()) or last in self.words or last in self.complete:
-            return False
-        if last not in self.beginnings and self.endings.get(last[-3:], self.endings.get(last[-2:], 0.0)) >= RARE_ENDING:
-            return False
-        k = self.language.language(clause)
-        return k >= 0 and self.language.languages[k] == VOCABULARY_LANGUAGE
-
     def lexical_features(self, clause: str) -> list[int]:
-        """Features that depend on the clause's own words."""
-        words = _WORD.findall(clause)
-        low = [w.lower() for w in words]
-        out = ["bias", f"n={min(len(low), 8)}", f"end={'word' if clause[-1:].isalnum() else clause.rstrip()[-1:]}"]
-        out += [f"w={w}" for w in dict.fromkeys(low)] + [f"b={a} {b}" for a, b in zip(low, low[1:])]
+        """Features of the clause's own words: they tell refusals and other languages, but not what is copied or unfinished."""
+        low = [w.lower() for w in _WORD.findall(clause)]
+        end = clause.rstrip()
+        tail = "word" if end[-1:].isalnum() else end[-3:] if end.endswith("...") else end[-1:]
+        out = ["bias", f"n={min(len(low), 8)}", f"end={tail}"]
+        if len(low) <= SHORT_WORDS:
+            out += [f"w={w}" for w in dict.fromkeys(low)]
         if low:
-            out += [f"last={low[-1]}", f"first={low[0]}"]
-            if low[-1] in _OPEN_WORDS or low[-2:] == ["at", "least"] or low[-2:] == ["as", "well"]:
-                out.append("open end")
-        if _REFUSAL_HINT.search(clause):
-            out.append("first person")
-        if self._cut_off(words, clause):
-            out.append("cut word")
-        if _BROKEN_END.search(clause) and low:
-            out.append("broken end")
+            out += [f"first={low[0]}", f"first two={' '.join(low[:2])}"]
+        return [crf.feature(f, 0) for f in out]
+
+    def end_features(self, clause: str, whole: int) -> tuple[str, ...]:
+        """Features of the place where a reply ends."""
+        words = _WORD.findall(clause)
+        if not words:
+            return ("no words",)
+        last, end = words[-1].lower(), clause.rstrip()
+        plain = last.isascii() and last.isalpha()
+        known = ("", "inside", "seldom end", "end")[whole] if whole else "vocabulary" if last in self.vocabulary else "beginning" if last in self.beginnings else "unknown"
+        tail = "word" if end[-1:].isalnum() else end[-3:] if end.endswith("...") else end[-1:]
+        # no features of the word itself where it is no ending: those of the broken-off replies in the sample would be learnt as ends
+        out = [f"known={known} plain={plain}", f"known={known} size={min(len(last), 4)}", f"ends={tail}"]
+        if known == "end":
+            out.append(f"ends in={last}")
         if clause.count("(") > clause.count(")"):
             out.append("open bracket")
-        if {"open end", "cut word", "broken end", "open bracket"} & set(out[-4:]):
-            out.append("unfinished look")
-        return [crf.feature(f) for f in out]
+        return tuple(out)
 
     def _remember(self, store: dict, key: str, make):
         known = store.get(key)
@@ -163,155 +188,220 @@ class Tagger:
         scores, n = (None, 0) if _NOTHING.match(phrase) else self.language.scores(phrase)
         return words if len(words) >= COPY_WORDS else [], clauses, scores, n
 
-    def reply(self, text: str | None, phrases: list[str | None], facts: Facts) -> list[tuple[str, int, int, int, bool]]:
-        """Clauses (clause, words, longest run, foreign, open end of the reply) in order.
-
-        foreign: 0 in the prompt's language or undecided, 1 rather not, 2 clearly in another.
-        """
-        own, words, at = facts
-        out = []
-        for phrase in phrases:
-            if not phrase:
+    def clauses(self, reply: Reply, facts: Facts) -> list[Clause]:
+        _, words, at = facts
+        out: list[Clause] = []
+        for k, phrase in enumerate(reply.phrases):
+            if not phrase or not any(map(str.isalpha, phrase)) or _NOTHING.match(phrase):
                 continue
             tokens, clauses, scores, n = self._remember(self.phrases, phrase, self._phrase)
-            if not any(map(str.isalpha, phrase)):
-                continue
             run = longest_run(at, words, tokens, COPY_WORDS) if tokens and words else 0
-            strange = 0
-            if own >= 0 and n >= 4:
-                lead = (scores.max() - scores[own]) / n
-                strange = 2 if lead > LANGUAGE_MARGIN else 1 if lead > LANGUAGE_MARGIN / 3 else 0
-            out += [(c, k, run, strange, False) for c, k in clauses]
+            lead = 0
+            if reply.language >= 0 and n >= 4:
+                lead = sum((scores.max() - scores[reply.language]) / n > x for x in LEADS)
+            out += [Clause(c, m, run, lead, False, k) for c, m in clauses]
         if out:
             # a quotation that ends with its sentence isn't broken off
-            quoted = text is not None and any(f"{out[-1][0]}{end}" in text for end in ".?!")
-            out[-1] = (*out[-1][:4], not quoted)
+            out[-1].last = reply.text is None or not any(f"{out[-1].text}{end}" in reply.text for end in ".?!")
         return out
 
     @staticmethod
-    def context_features(run: int, strange: int, last: bool, k: int, n: int, looks_open: bool) -> tuple[str, ...]:
-        # repeated: what holds for the place outweighs the words
-        return 6 * (f"run={0 if run < 4 else 1 if run < COPY_WORDS else 2}", f"foreign={strange}", f"last={last}", f"size={min(n, 4)}", f"place={min(k, 2)}", f"last={last} open={looks_open}")
-
-    def facts(self, text: str | None, need_words: bool) -> Facts:
-        if not text:
-            return -1, [], {}
-        words = _WORD.findall(text.lower()) if need_words else []
+    def place_features(clause: Clause, reply: Reply) -> tuple[str, ...]:
+        """Features of the clause's place, repeated: what holds for it outweighs the words."""
+        run = 0 if clause.run < 4 else 1 if clause.run < COPY_WORDS else 2
+        out = [f"run={run}", f"lead={clause.lead}", f"last={clause.last}", f"dropped={reply.phrases[clause.phrase] in reply.dropped}"]
+        note = (f"error={' '.join(_WORD.findall(reply.error)[:2]).lower()}",) if clause.last and reply.error else ()
+        return PLACE_TIMES * tuple(out) + note
+
+    def features(self, reply: Reply, clauses: list[Clause], k: int) -> list[int]:
+        c = clauses[k]
+        names = self.place_features(c, reply) + (END_TIMES * self.end_features(c.text, reply.whole) if c.last else ())
+        return self.lexical_features(c.text) + [crf.feature(f) for f in names]
+
+    def facts(self, text: str | None) -> Facts:
+        words = _WORD.findall(text.lower()) if text else []
         at: dict[str, list[int]] = {}
         for i, w in enumerate(words):
             at.setdefault(w, []).append(i)
-        return self.language.language(text), words, at
+        return -1, words, at
 
     # -- decisions
 
-    UNFINISHED_LOOK = crf.feature("unfinished look")
-
-    def defects(self, rows: list[tuple[str | None, list[str | None]]]) -> list[str | None]:
-        """The defect of each (prompt, phrases), from the tags of its clauses, or None."""
+    def tags(self, replies: list[Reply]) -> list[tuple[list[Clause], np.ndarray]]:
         m = self.model
-        known: dict[str, list] = {}
-        replies = []
-        for text, phrases in rows:
-            need = any(len(p) > 2 * COPY_WORDS - 2 and self._remember(self.phrases, p, self._phrase)[0] for p in phrases if p)
-            key = text or ""
-            if key not in known or (need and not known[key][1]):
-                known[key] = [self.facts(text, need), need]
-            replies.append(self.reply(text, phrases, known[key][0]))
-        lengths = np.array([len(r) for r in replies], np.int64)
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64) if len(replies) else np.zeros(0, np.int64)
+        known: dict[str, Facts] = {}
+        cut = []
+        for r in replies:
+            key = r.text or ""
+            if key not in known:
+                known[key] = self.facts(r.text)
+            cut.append(self.clauses(r, known[key]))
+        lengths = np.array([len(c) for c in cut], np.int64)
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64) if len(cut) else np.zeros(0, np.int64)
         emissions = np.zeros((int(lengths.sum()), len(TAGS)))
         i = 0
-        context: dict[tuple, np.ndarray] = {}
-        for r in replies:
-            for k, (clause, _, run, strange, last) in enumerate(r):
-                lexical, look = self._remember(self.lexical, clause, self._emission)
-                key = (run >= 4) + (run >= COPY_WORDS), strange, last, k if k < 2 else 2, min(len(r), 4), look
-                if key not in context:
-                    context[key] = sum(m.weights[crf.feature(f)] for f in self.context_features(run, strange, last, k, len(r), look))
-                emissions[i] = lexical + context[key]
+        place: dict[tuple[str, ...], np.ndarray] = {}
+        for r, clauses in zip(replies, cut):
+            for k, c in enumerate(clauses):
+                names = self.place_features(c, r)
+                if names not in place:
+                    place[names] = m.weights[[crf.feature(f) for f in names]].sum(0)
+                emissions[i] = self._remember(self.lexical, c.text, lambda t: m.weights[self.lexical_features(t)].sum(0)) + place[names]
+                if c.last:
+                    emissions[i] += END_TIMES * m.weights[[crf.feature(f) for f in self.end_features(c.text, r.whole)]].sum(0)
                 i += 1
-        tags = crf.viterbi(emissions, starts, lengths, m.move, m.begin, m.end)
-        return [self._verdict(r, tags[s : s + len(r)]) for r, s in zip(replies, starts)]
+        found = crf.viterbi(emissions, starts, lengths, m.move, m.begin, m.end)
+        return [(c, found[s : s + len(c)]) for c, s in zip(cut, starts)]
 
-    def _emission(self, clause: str) -> tuple[np.ndarray, bool]:
-        f = self.lexical_features(clause)
-        return self.model.weights[f].sum(0), self.UNFINISHED_LOOK in f
+    def defects(self, replies: list[Reply]) -> list[str | None]:
+        """The defect of each reply, from the coverage of its clauses' tags, or None."""
+        return [self._verdict(c, t) for c, t in self.tags(replies)]
 
     @staticmethod
-    def _verdict(clauses: list[tuple[str, int, int, int, bool]], tags: np.ndarray) -> str | None:
+    def _verdict(clauses: list[Clause], tags: np.ndarray) -> str | None:
         """Coverage of the clauses' tags as the reply's one defect."""
         if not clauses:
             return None
-        words = np.array([max(c[1], 1) for c in clauses])
+        words = np.array([max(c.words, 1) for c in clauses])
         if words[tags == REFUSAL].sum() >= REFUSAL_COVERAGE * words.sum():
             return "refusal"
-        if any(c[2] >= COPY_WORDS for c, t in zip(clauses, tags) if t in (ECHO, FOREIGN, UNFINISHED)):  # exact
+        if any(c.run >= COPY_WORDS for c, t in zip(clauses, tags) if t in (ECHO, FOREIGN, UNFINISHED)):  # exact
             return "copy"
-        if any(t == FOREIGN and c[3] for c, t in zip(clauses, tags)):
+        if any(t == FOREIGN and c.lead >= FOREIGN_STEP for c, t in zip(clauses, tags)):
             return "language"
-        if tags[-1] == UNFINISHED and clauses[-1][4]:
+        if tags[-1] == UNFINISHED and clauses[-1].last:
             return "truncated"
         return None
 
-    # -- labels for training
-
-    def labels(self, clauses: list[tuple[str, int, int, int, bool]]) -> list[int]:
-        """Tags by plain rules; the field learns from them and generalises over their words."""
-        if any(_REFUSING.search(c[0]) for c in clauses) and sum(c[1] for c in clauses) <= 40:
-            return [REFUSAL] * len(clauses)
-        out = []
-        for clause, _, run, strange, last in clauses:
-            if run >= COPY_WORDS:
-                out.append(ECHO)
-            elif strange == 2:
-                out.append(FOREIGN)
-            elif last and self.UNFINISHED_LOOK in self.lexical_features(clause):
-                out.append(UNFINISHED)
-            else:
-                out.append(ANSWER)
-        return out
 
+# --- training by damage ------------------------------------------------------------------
 
-def fit(replies: list[tuple[str | None, list[str | None]]], texts: list[tuple[str | None, str | None]], *, vocabulary: str = VOCABULARY, plain: int = SAMPLE_PLAIN) -> Model:
-    """Model from sampled (prompt, phrases) and labelled (text, language) rows."""
-    # phrases mostly speak their prompt's language: with its label they teach the words that replies use
-    long = LanguageModel.train(texts)
-    spoken = {t: long.languages[k] for t in dict.fromkeys(t for t, _ in replies if t) if (k := long.language(t)) >= 0}
-    language = LanguageModel.train([*texts, *((" . ".join(p for p in phrases if p and not _NOTHING.match(p)), spoken.get(text)) for text, phrases in replies)])
-    # words that stand anywhere but at a reply's end are whole
-    inner: Counter = Counter()
-    for text, phrases in replies:
-        words = [_WORD.findall(p.lower()) for p in phrases if p]
-        inner.update({w for k, ws in enumerate(words) for w in (ws if k + 1 < len(words) else ws[:-1])})
-        inner.update(set(_WORD.findall((text or "").lower())))
-    complete = frozenset(w for w, n in inner.items() if n >= 2)
-    tagger = Tagger(language, vocabulary, complete)
-    rows, feats, lengths, tags, weights = [], [], [], [], []
-    left = plain
-    for text, phrases in replies:
-        clauses = tagger.reply(text, phrases, tagger.facts(text, True))
-        if not clauses:
-            continue
-        own = tagger.labels(clauses)
-        if not any(own):
-            if left <= 0:
+
+def refusal(rng: random.Random) -> str:
+    """A refusal made of ``REFUSALS``."""
+    pick = lambda part: rng.choice(REFUSALS[part])
+    body = f"{pick('able')} {pick('do')} {pick('what')}" if rng.random() < 0.6 else pick("whole").format(what=pick("what"), do=pick("do"))
+    out = pick("open") + body + pick("close")
+    return out.lower() if rng.random() < 0.15 else out[0].upper() + out[1:]
+
+
+def titled(phrase: str, rng: random.Random) -> str:
+    """``phrase`` now and then behind a heading, as replies have it."""
+    return rng.choice(("Concern: ", "Benefit: ", "Concerns: ", "Benefits: ", "- ")) + phrase if rng.random() < 0.15 else phrase
+
+
+def truncated(phrase: str, rng: random.Random) -> str | None:
+    """``phrase`` broken off inside a word or behind one, as a reply's end that ran out."""
+    words = phrase.split()
+    if len(words) < 3:
+        return None
+    k = rng.randrange(1, len(words))
+    if rng.random() < 0.5 and len(words[k]) > 3:
+        return " ".join([*words[:k], words[k][: rng.randrange(2, len(words[k]))]]) + rng.choice(("", "", "", "-", "...", "…"))
+    return " ".join(words[:k]) + rng.choice(BREAKS)
+
+
+def ending(inside: int, at_end: int) -> int:
+    """0 for a word that stands inside too few texts and replies to be whole, else 1 to 3 by the share of its places that end a phrase."""
+    if inside < WHOLE_PLACES:
+        return 0
+    return 1 + sum(at_end >= max(WHOLE_PLACES, share * (inside + at_end)) for share in END_SHARES)
+
+
+def damaged(replies: list[Reply], each: int, rng: random.Random) -> list[tuple[Reply, dict[int, int]]]:
+    """(reply, tags of its phrases) for ``each`` damaged copies of well-formed replies of every kind, near misses among them."""
+    out: list[tuple[Reply, dict[int, int]]] = []
+    ends = Counter(w[-1] for r in replies for p in r.phrases if p and (w := _WORD.findall(p.lower())))
+    inner = Counter(x for r in replies for p in r.phrases if p for x in _WORD.findall(p.lower())[:-1])
+    for t in {r.text for r in replies if r.text}:
+        inner.update(_WORD.findall(t.lower()))
+    spoken = [r for r in replies if any(r.phrases)]
+    if not spoken:
+        return out
+    phrases = lambda r: [p for p in r.phrases if p]
+    by_language: dict[int, list[str]] = {}
+    for r in spoken:
+        if r.language >= 0:
+            by_language.setdefault(r.language, []).extend(p for p in phrases(r) if not _NOTHING.match(p))
+    # the sample's error notes, so that a note says nothing about damage
+    notes = [r.error for r in replies]
+    others = {k: [p for j, ps in by_language.items() if j != k for p in ps[:2_000]] for k in by_language}
+    for _ in range(each):
+        r = rng.choice(spoken)
+        out.append((Reply([titled(refusal(rng), rng)], r.language, r.text if rng.random() < 0.2 else None, rng.randrange(4)), {0: REFUSAL}))
+        own = phrases(rng.choice(spoken))[-1 if rng.random() < 0.4 else 0 :]
+        if (short := truncated(own[-1], rng)) and short != own[-1]:
+            word = _WORD.findall(short.lower())[-1:] or [""]
+            state = ending(inner[word[0]], ends[word[0]])
+            complete = state == 3 and short[-1:].isalnum()
+            out.append((Reply([*own[:-1], short], r.language, None, state), {len(own) - 1: ANSWER if complete else UNFINISHED}))
+        r = rng.choice(spoken)
+        own = phrases(r)[: 1 if rng.random() < 0.4 else None]
+        if r.language in others and others[r.language]:
+            at = rng.randrange(len(own))
+            strange = rng.choice(others[r.language])
+            out.append((Reply([*own[:at], strange, *own[at + 1 :]], r.language, r.text, r.whole), {at: FOREIGN}))
+        r = rng.choice(spoken)
+        words = (r.text or "").split()
+        if len(words) >= 24:
+            own, size = phrases(r) if rng.random() < 0.4 else [], rng.randrange(14, 24) if rng.random() < 0.75 else rng.randrange(4, 10)
+            start = rng.randrange(len(words) - size)
+            copy = " ".join(words[start : start + size])
+            copy = titled(rng.choice((copy, copy, copy.upper(), re.sub(r"[^\w\s]", "", copy.lower()), f"“{copy}”", copy.rstrip(".,;") + ".")), rng)
+            at = rng.randrange(len(own) + 1)
+            # shorter runs are a passage's own words
+            out.append((Reply([*own[:at], copy, *own[at:]], r.language, r.text, rng.choice((1, 2, 3))), {at: ECHO if size >= 14 else ANSWER}))
+    for r, _ in out:
+        r.error = rng.choice(notes)
+    return out
+
+
+def fit(replies: list[Reply], language: LanguageModel, *, vocabulary: str = VOCABULARY, each: int = DAMAGED, steps: tuple[int, ...] = STEPS, seed: int = 7) -> Model:
+    """Field trained on sampled replies, taken as well-formed, and on damaged copies of them.
+
+    What the first field calls defective among the sampled replies no longer counts as well-formed: it
+    joins the second training with the tags found, which also teaches what the replies' error notes are worth.
+    """
+    tagger = Tagger(language, vocabulary)
+    rng = random.Random(seed)
+    zero = np.zeros((crf.SPACE, len(TAGS))), np.zeros((len(TAGS),) * 2), np.zeros(len(TAGS)), np.zeros(len(TAGS))
+    model = Model(language.languages, language.table, zero[0].astype(np.float32), *zero[1:], vocabulary)
+    good, found = replies, []
+    for turn, n in enumerate(steps):
+        sample = [(r, dict.fromkeys(range(len(r.phrases)), ANSWER)) for r in good[: 3 * each]] + damaged(good, each, rng)
+        rows, feats, lengths, tags, weights = [], [], [], [], []
+        for r, of in sample:
+            clauses = tagger.clauses(r, tagger.facts(r.text))
+            if not clauses:
                 continue
-            left -= 1
-        for k, (clause, _, run, strange, last) in enumerate(clauses):
-            f = tagger.lexical_features(clause)
-            f += [crf.feature(x) for x in tagger.context_features(run, strange, last, k, len(clauses), tagger.UNFINISHED_LOOK in f)]
-            rows += [len(tags)] * len(f)
-            feats += f
-            tags.append(own[k])
-        lengths.append(len(clauses))
-        weights.append(DEFECT_WEIGHT if any(own) else 1.0)
-    size = np.array(lengths, np.int64)
-    starts = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64) if len(size) else size
-    if len(size):
-        w, move, begin, end = crf.train(np.array(rows), np.array(feats), starts, size, np.array(tags), len(TAGS), weights=np.array(weights))
-    else:
-        w, move, begin, end = np.zeros((crf.SPACE, len(TAGS))), np.zeros((len(TAGS),) * 2), np.zeros(len(TAGS)), np.zeros(len(TAGS))
-    return Model(language.languages, language.table, w.astype(np.float32), move, begin, end, vocabulary, complete)
+            for k, c in enumerate(clauses):
+                f = tagger.features(r, clauses, k)
+                rows += [len(tags)] * len(f)
+                feats += f
+                tag = of.get(c.phrase, ANSWER)
+                tags.append(ANSWER if tag == UNFINISHED and not c.last else tag)
+            lengths.append(len(clauses))
+            weights.append(DAMAGE_WEIGHT if any(of.values()) else 1.0)
+        for r, clauses, own in found:
+            for k in range(len(clauses)):
+                f = tagger.features(r, clauses, k)
+                rows += [len(tags)] * len(f)
+                feats += f
+                tags.append(int(own[k]))
+            lengths.append(len(clauses))
+            weights.append(DAMAGE_WEIGHT)
+        if not lengths:
+            return model
+        size = np.array(lengths, np.int64)
+        starts = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
+        w, move, begin, end = crf.train(np.array(rows), np.array(feats), starts, size, np.array(tags), len(TAGS), steps=n, weights=np.array(weights), tied=(ANSWER, ECHO, UNFINISHED))
+        model = Model(language.languages, language.table, w.astype(np.float32), move, begin, end, vocabulary)
+        if turn + 1 < len(steps):
+            judge = Tagger(language, vocabulary, model)
+            judged = [(r, *x) for r, x in zip(replies, judge.tags(replies))]
+            bad = [judge._verdict(c, t) is not None for _, c, t in judged]
+            good, found = [r for r, b in zip(replies, bad) if not b], [j for j, b in zip(judged, bad) if b]
+    return model
 
 
 _TAGGERS: dict[str, Tagger] = {}
@@ -321,7 +411,7 @@ def _tagger(shared) -> Tagger:
     if shared.id not in _TAGGERS:
         _TAGGERS.clear()
         m = shared.value
-        _TAGGERS[shared.id] = Tagger(LanguageModel(m.languages, m.trigrams), m.vocabulary, m.complete, m)
+        _TAGGERS[shared.id] = Tagger(LanguageModel(m.languages, m.trigrams), m.vocabulary, m)
     return _TAGGERS[shared.id]
 
 
@@ -336,21 +426,54 @@ class _Shared:
         return self.variable.value
 
 
+def _reply(language: int | None, phrases: list[str | None], text: str | None, whole: int | None, error: str | None, dropped: list[str] | None) -> Reply:
+    return Reply(phrases, -1 if language is None else language, text, whole or 0, error, frozenset(dropped or ()))
+
+
 def _judge(batches: Iterator[pa.RecordBatch], shared: _Shared) -> Iterator[pa.RecordBatch]:
     tagger = _tagger(shared)
     for b in batches:
-        found = tagger.defects(list(zip(b.column(2).to_pylist(), b.column(1).to_pylist())))
+        found = tagger.defects([_reply(*r) for r in zip(*(b.column(c).to_pylist() for c in range(1, 7)))])
         keep = [i for i, d in enumerate(found) if d]
         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array([found[i] for i in keep], pa.string())], names=["ident", "defect"])
 
 
+def _spoken(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """The language of every prompt: (key, language)."""
+    language = LanguageModel(*shared.value)
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([language.language(t) if t else -1 for t in b.column(1).to_pylist()], pa.int32())], names=["key", "language"])
+
+
+def _fitted(batches: Iterator[pa.RecordBatch], shared, vocabulary: str) -> Iterator[pa.RecordBatch]:
+    rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["ident"])
+    model = fit([_reply(*(r[c] for c in ("language", "phrases", "text", "whole", "error", "dropped"))) for r in rows], LanguageModel(*shared.value), vocabulary=vocabulary)
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+
 def _sample(df: DataFrame, key: str, n: int) -> DataFrame:
     """The rows whose key hashes up to the ``n``-th smallest hash; only the hashes are sorted."""
     most = df.select(F.xxhash64(key).alias("h")).distinct().orderBy("h").limit(n).agg(F.max("h")).first()[0]
     return df.filter(F.xxhash64(key) <= most) if most is not None else df.limit(0)
 
 
-def defective_replies(replies: DataFrame, ident: str, key: str, phrases: str, nothing: str, prompts: DataFrame, text: str, labelled: DataFrame, label_text: str, label: str, *, sample_replies: int = SAMPLE_REPLIES, sample_texts: int = SAMPLE_TEXTS, vocabulary: str = VOCABULARY) -> DataFrame:
+def _whole_words(prompts: DataFrame, replies: DataFrame) -> DataFrame:
+    """(word, whole) of the last words of replies that stand inside a text, or before the end of a reply, often enough, as ``ending`` has it."""
+    found = lambda c: F.regexp_extract_all(F.lower(c), F.lit(f"({_WORD_SQL})"), 1)
+    joined = found(F.array_join(F.col("phrases"), " \n "))
+    inside = replies.select(F.explode(F.slice(joined, 1, F.greatest(F.size(joined) - 1, F.lit(0)))).alias("word"), F.lit(0).alias("end"))
+    ends = replies.select(F.explode("phrases").alias("p")).select(F.regexp_extract(F.lower("p"), _LAST_SQL, 1).alias("word"), F.lit(1).alias("end"))
+    words = prompts.select(F.explode(found("text")).alias("word"), F.lit(0).alias("end")).unionByName(inside).unionByName(ends)
+    last = broadcast_if_small(replies.select("last").filter("last <> ''").distinct().withColumnRenamed("last", "word"), MAX_BROADCAST)
+    counted = words.join(last, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"), F.sum("end").alias("e")).filter(F.col("n") - F.col("e") >= WHOLE_PLACES)
+    steps = [F.when(F.col("e") >= F.greatest(F.lit(WHOLE_PLACES), share * F.col("n")), 1).otherwise(0) for share in END_SHARES]
+    return counted.select("word", (1 + steps[0] + steps[1]).alias("whole"))
+
+
+def defective_replies(
+    replies: DataFrame, ident: str, key: str, phrases: str, nothing: str, prompts: DataFrame, text: str, labelled: DataFrame, label_text: str, label: str,
+    *, error: str | None = None, dropped: str | None = None, sample_replies: int = SAMPLE_REPLIES, sample_texts: int = SAMPLE_TEXTS, vocabulary: str = VOCABULARY,
+) -> DataFrame:
     """(ident, defect) of each defective reply to a prompt; replies and prompts meet by ``key``.
 
     Each reply's phrases are cut into clauses; a conditional random field tags them as answer,
@@ -358,25 +481,47 @@ def defective_replies(replies: DataFrame, ident: str, key: str, phrases: str, no
     'refusal' (most words), 'copy' (a tagged phrase repeats at least 12 consecutive words of
     the prompt, checked exactly), 'language' (any foreign phrase), 'truncated' (the reply's last
     clause). 'empty' is decided on the columns alone: ``nothing`` isn't true and the
-    phrases are null or hold no letter. The field is fitted to rule-labelled clauses of a bounded sample
-    of ``sample_replies`` replies, the languages to ``sample_texts`` rows of ``labelled``; every reply is judged
-    on its whole prompt.
+    phrases are null or hold no letter. The field is fitted in one task to a bounded sample of ``sample_replies`` replies and
+    damaged copies of them (see ``fit``; most replies are taken to be well-formed), the languages to ``sample_texts`` rows of ``labelled``. Every reply is judged: all of a
+    prompt for its language and, where a phrase is long enough to copy or ends unusually, for its words; whole words are counted over all prompts and replies.
+    ``error`` and ``dropped`` name columns with the reply's error note (string) and the phrases that a filter took out (array of strings), which the field weighs.
+    Only a prompt's key and language are joined to the replies, and the texts of those few prompts that a long phrase needs.
     Defined cases: repeated rows count once; a null or missing prompt can't be copied nor differ in
     language; null phrases are skipped; an empty table gives no row; other columns are ignored.
     """
     spark, kind = replies.sparkSession, dict(replies.dtypes)[ident]
-    own = replies.select(F.col(ident).alias("ident"), F.col(key).alias("key"), F.col(phrases).alias("phrases"), F.coalesce(F.col(nothing), F.lit(False)).alias("nothing")).filter(F.col("ident").isNotNull())
+    extra = [F.col(error).alias("error") if error else F.lit(None).cast("string").alias("error"), F.col(dropped).alias("dropped") if dropped else F.lit(None).cast("array<string>").alias("dropped")]
+    own = replies.select(F.col(ident).alias("ident"), F.col(key).alias("key"), F.col(phrases).alias("phrases"), F.coalesce(F.col(nothing), F.lit(False)).alias("nothing"), *extra).filter(F.col("ident").isNotNull())
     letters = F.coalesce(F.exists("phrases", lambda p: F.coalesce(p.rlike(r"\p{L}"), F.lit(False))), F.lit(False))
     empty = own.filter(~F.col("nothing") & ~letters).select("ident", F.lit("empty").alias("defect")).distinct()
-    spoken = own.filter(letters).select("ident", "key", "phrases")
-    asked = prompts.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("key").isNotNull())
-    # bounded samples, the same whatever the number of partitions
-    some = _sample(spoken, "ident", sample_replies)
-    pool = some.join(asked, "key", "left").dropDuplicates(["ident"]).select("text", "phrases").collect()
+    last = F.regexp_extract(F.lower(F.element_at(F.filter("phrases", lambda p: p.rlike(r"\p{L}")), -1)), _LAST_SQL, 1)
+    long = F.exists("phrases", lambda p: F.regexp_count(p, F.lit(_WORD_SQL)) >= LONG_WORDS)
+    spoken = cut(own.filter(letters).drop("nothing").dropDuplicates(["ident"]).withColumn("last", F.coalesce(last, F.lit(""))).withColumn("long", F.coalesce(long, F.lit(False))))
+    asked = prompts.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("key").isNotNull() & F.col("text").isNotNull())
+    # languages from a bounded sample, the same whatever the number of partitions
     texts = _sample(labelled.select(F.col(label_text).alias("t"), F.col(label).alias("l")).filter("t IS NOT NULL AND l IS NOT NULL"), "t", sample_texts).collect()
-    model = fit([(r.text, r.phrases) for r in pool], [(r.t, r.l) for r in texts], vocabulary=vocabulary)
-    shared = _Shared(spark.sparkContext.broadcast(model))  # fixed size: hashed weights and at most 60,000 trigrams
-    # both sides meet by key; a reply's repeats lie in the same partition
-    met = spoken.dropDuplicates(["key", "ident"]).join(asked.groupBy("key").agg(F.min("text").alias("text")), "key", "left")
-    judged = met.select("ident", "phrases", "text").mapInArrow(lambda it: _judge(it, shared), f"ident {kind}, defect string")
+    long_texts = LanguageModel.train(sorted((r.t, r.l) for r in texts))
+    some = _sample(spoken, "ident", sample_replies)
+    pool = some.join(asked.groupBy("key").agg(F.min("text").alias("text")).join(broadcast_if_small(some.select("key").distinct(), MAX_BROADCAST), "key", "left_semi"), "key", "left")
+    # phrases mostly speak their prompt's language: with its label they teach the words that replies use
+    talk = sorted((" . ".join(p for p in r.phrases if p and not _NOTHING.match(p)), long_texts.languages[k]) for r in pool.select("phrases", "text").collect() if r.text and (k := long_texts.language(r.text)) >= 0)
+    language = LanguageModel.train([*sorted((r.t, r.l) for r in texts), *talk])
+    tongue = spark.sparkContext.broadcast((language.languages, language.table))  # at most 60,000 trigrams
+    key_kind = dict(asked.dtypes)["key"]
+    tongues = asked.mapInArrow(lambda it: _spoken(it, tongue), f"key {key_kind}, language int").groupBy("key").agg(F.min("language").alias("language"))
+    whole = _whole_words(asked, spoken)
+    met = spoken.join(broadcast_if_small(cut(whole), MAX_BROADCAST), F.col("last") == F.col("word"), "left").drop("word", "last").join(broadcast_if_small(cut(tongues), MAX_BROADCAST), "key", "left")
+    # a passage's own words at a reply's end may be a whole quotation
+    met = cut(met.withColumn("long", F.col("long") | (F.coalesce("whole", F.lit(0)) <= 1)))
+    needed = met.filter("long").select("key").distinct()
+    sources = asked.join(broadcast_if_small(needed, MAX_BROADCAST), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
+    columns = ("ident", "language", "phrases", "text", "whole", "error", "dropped")
+    rows = met.filter("NOT long").withColumn("text", F.lit(None).cast("string")).select(*columns).unionByName(met.filter("long").join(sources, "key", "left").select(*columns))
+    # the sample goes with its texts, as damage copies from them
+    train = _sample(met, "ident", sample_replies).join(pool.select("ident", "text"), "ident").select(*columns)
+    model = train.repartition(1).mapInArrow(lambda it: _fitted(it, tongue, vocabulary), "model binary").first()
+    if model is None:  # no reply with a letter
+        return empty.withColumnRenamed("ident", ident)
+    shared = _Shared(spark.sparkContext.broadcast(pickle.loads(model[0])))  # fixed size: hashed weights and the trigrams
+    judged = rows.mapInArrow(lambda it: _judge(it, shared), f"ident {kind}, defect string")
     return empty.unionByName(judged).withColumnRenamed("ident", ident)

@@ -25,10 +25,10 @@ Facts = tuple[int, list[str], dict[str, list[int]]]
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
 #: Replies and labelled texts that the models are fitted on (bounded samples by hash order).
-SAMPLE_REPLIES = 5_000
+SAMPLE_REPLIES = 4_000
 SAMPLE_TEXTS = 6_000
 #: Damaged replies of each kind made of the sample, their weight in training, and steps of the field's trainings, between which it clears the sample.
-DAMAGED = 700
+DAMAGED = 500
 DAMAGE_WEIGHT = 8.0
 STEPS = (50, 40, 60)
 #: Consecutive words shared with the prompt that make a copy; phrases of fewer words than ``LONG_WORDS`` are judged without their prompt's words.
@@ -38,8 +38,8 @@ LONG_WORDS = 10
 LEADS = (0.05, 0.12, 0.25)
 #: Least step of a clause that makes a reply foreign.
 FOREIGN_STEP = 3
-#: How often the features of a reply's end and of a clause's place count beside those of its words, of which there are many more.
-END_TIMES, PLACE_TIMES = 3, 4
+#: How much faster the features of a reply's end and of a clause's place learn than those of its words, of which there are many more.
+PLACE_LEAD = 4.0
 #: Clauses of more words are known by their beginning and end, not by all their words.
 SHORT_WORDS = 16
 #: Share of a reply's words that must be tagged as refusal.
@@ -49,7 +49,7 @@ WHOLE_PLACES = 2
 #: Shares of its places at which a word ends a phrase, between which words are told apart.
 END_SHARES = (0.003, 0.02)
 #: Sets of prompts' keys, words and languages up to this number are broadcast.
-MAX_BROADCAST = 500_000
+MAX_BROADCAST = 200_000
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 
 _WORD = re.compile(r"[^\W_]+")
@@ -140,6 +140,7 @@ class Tagger:
         self.vocabulary, self.beginnings = _vocabulary(vocabulary)
         self.phrases: dict[str, tuple] = {}
         self.lexical: dict[str, np.ndarray] = {}
+        self.ends: dict[tuple[str, int], np.ndarray] = {}
 
     # -- clauses and features
 
@@ -172,7 +173,7 @@ class Tagger:
             out.append("open bracket")
         return tuple(out)
 
-    def _remember(self, store: dict, key: str, make):
+    def _remember(self, store: dict, key, make):
         known = store.get(key)
         if known is None:
             if len(store) >= self.REMEMBERED:
@@ -207,15 +208,15 @@ class Tagger:
 
     @staticmethod
     def place_features(clause: Clause, reply: Reply) -> tuple[str, ...]:
-        """Features of the clause's place, repeated: what holds for it outweighs the words."""
+        """Features of the clause's place."""
         run = 0 if clause.run < 4 else 1 if clause.run < COPY_WORDS else 2
         out = [f"run={run}", f"lead={clause.lead}", f"last={clause.last}", f"dropped={reply.phrases[clause.phrase] in reply.dropped}"]
         note = (f"error={' '.join(_WORD.findall(reply.error)[:2]).lower()}",) if clause.last and reply.error else ()
-        return PLACE_TIMES * tuple(out) + note
+        return tuple(out) + note
 
     def features(self, reply: Reply, clauses: list[Clause], k: int) -> list[int]:
         c = clauses[k]
-        names = self.place_features(c, reply) + (END_TIMES * self.end_features(c.text, reply.whole) if c.last else ())
+        names = self.place_features(c, reply) + (self.end_features(c.text, reply.whole) if c.last else ())
         return self.lexical_features(c.text) + [crf.feature(f) for f in names]
 
     def facts(self, text: str | None) -> Facts:
@@ -248,7 +249,7 @@ class Tagger:
                     place[names] = m.weights[[crf.feature(f) for f in names]].sum(0)
                 emissions[i] = self._remember(self.lexical, c.text, lambda t: m.weights[self.lexical_features(t)].sum(0)) + place[names]
                 if c.last:
-                    emissions[i] += END_TIMES * m.weights[[crf.feature(f) for f in self.end_features(c.text, r.whole)]].sum(0)
+                    emissions[i] += self._remember(self.ends, (c.text, r.whole), lambda x: m.weights[[crf.feature(f) for f in self.end_features(*x)]].sum(0))
                 i += 1
         found = crf.viterbi(emissions, starts, lengths, m.move, m.begin, m.end)
         return [(c, found[s : s + len(c)]) for c, s in zip(cut, starts)]
@@ -394,7 +395,7 @@ def fit(replies: list[Reply], language: LanguageModel, *, vocabulary: str = VOCA
             return model
         size = np.array(lengths, np.int64)
         starts = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
-        w, move, begin, end = crf.train(np.array(rows), np.array(feats), starts, size, np.array(tags), len(TAGS), steps=n, weights=np.array(weights), tied=(ANSWER, ECHO, UNFINISHED))
+        w, move, begin, end = crf.train(np.array(rows), np.array(feats), starts, size, np.array(tags), len(TAGS), steps=n, weights=np.array(weights), tied=(ANSWER, ECHO, UNFINISHED), lead=PLACE_LEAD)
         model = Model(language.languages, language.table, w.astype(np.float32), move, begin, end, vocabulary)
         if turn + 1 < len(steps):
             judge = Tagger(language, vocabulary, model)
@@ -438,11 +439,32 @@ def _judge(batches: Iterator[pa.RecordBatch], shared: _Shared) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array([found[i] for i in keep], pa.string())], names=["ident", "defect"])
 
 
+#: Different words that a task counts before it hands them on.
+COUNTED_WORDS = 200_000
+
+
 def _spoken(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """The language of every prompt: (key, language)."""
+    """One pass over the prompts: (key, language) of each, and (word, n) of their words."""
     language = LanguageModel(*shared.value)
+    words: Counter = Counter()
+
+    def counted() -> pa.RecordBatch:
+        none = pa.nulls(len(words))
+        out = pa.RecordBatch.from_arrays([none.cast(key), none.cast(pa.int32()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["key", "language", "word", "n"])
+        words.clear()
+        return out
+
+    key = pa.null()
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([language.language(t) if t else -1 for t in b.column(1).to_pylist()], pa.int32())], names=["key", "language"])
+        key, texts = b.column(0).type, b.column(1).to_pylist()
+        for t in texts:
+            words.update(_WORD.findall(t.lower()))
+        none = pa.nulls(len(texts))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([language.language(t) if t else -1 for t in texts], pa.int32()), none.cast(pa.string()), none.cast(pa.int64())], names=["key", "language", "word", "n"])
+        if len(words) > COUNTED_WORDS:
+            yield counted()
+    if words:
+        yield counted()
 
 
 def _fitted(batches: Iterator[pa.RecordBatch], shared, vocabulary: str) -> Iterator[pa.RecordBatch]:
@@ -458,14 +480,14 @@ def _sample(df: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def _whole_words(prompts: DataFrame, replies: DataFrame) -> DataFrame:
-    """(word, whole) of the last words of replies that stand inside a text, or before the end of a reply, often enough, as ``ending`` has it."""
+    """(word, whole), from the words (word, n) of the prompts and the replies, of the last words of replies that stand inside a text, or before the end of a reply, often enough, as ``ending`` has it."""
     found = lambda c: F.regexp_extract_all(F.lower(c), F.lit(f"({_WORD_SQL})"), 1)
     joined = found(F.array_join(F.col("phrases"), " \n "))
     inside = replies.select(F.explode(F.slice(joined, 1, F.greatest(F.size(joined) - 1, F.lit(0)))).alias("word"), F.lit(0).alias("end"))
     ends = replies.select(F.explode("phrases").alias("p")).select(F.regexp_extract(F.lower("p"), _LAST_SQL, 1).alias("word"), F.lit(1).alias("end"))
-    words = prompts.select(F.explode(found("text")).alias("word"), F.lit(0).alias("end")).unionByName(inside).unionByName(ends)
+    words = prompts.select("word", "n", F.lit(0).alias("end")).unionByName(inside.withColumn("n", F.lit(1).cast("long"))).unionByName(ends.withColumn("n", F.lit(1).cast("long")))
     last = broadcast_if_small(replies.select("last").filter("last <> ''").distinct().withColumnRenamed("last", "word"), MAX_BROADCAST)
-    counted = words.join(last, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"), F.sum("end").alias("e")).filter(F.col("n") - F.col("e") >= WHOLE_PLACES)
+    counted = words.join(last, "word", "left_semi").groupBy("word").agg(F.sum("n").alias("n"), F.sum("end").alias("e")).filter(F.col("n") - F.col("e") >= WHOLE_PLACES)
     steps = [F.when(F.col("e") >= F.greatest(F.lit(WHOLE_PLACES), share * F.col("n")), 1).otherwise(0) for share in END_SHARES]
     return counted.select("word", (1 + steps[0] + steps[1]).alias("whole"))
 
@@ -508,8 +530,9 @@ def defective_replies(
     language = LanguageModel.train([*sorted((r.t, r.l) for r in texts), *talk])
     tongue = spark.sparkContext.broadcast((language.languages, language.table))  # at most 60,000 trigrams
     key_kind = dict(asked.dtypes)["key"]
-    tongues = asked.mapInArrow(lambda it: _spoken(it, tongue), f"key {key_kind}, language int").groupBy("key").agg(F.min("language").alias("language"))
-    whole = _whole_words(asked, spoken)
+    passed = cut(asked.mapInArrow(lambda it: _spoken(it, tongue), f"key {key_kind}, language int, word string, n long"))
+    tongues = passed.filter("key IS NOT NULL").groupBy("key").agg(F.min("language").alias("language"))
+    whole = _whole_words(passed.filter("word IS NOT NULL"), spoken)
     met = spoken.join(broadcast_if_small(cut(whole), MAX_BROADCAST), F.col("last") == F.col("word"), "left").drop("word", "last").join(broadcast_if_small(cut(tongues), MAX_BROADCAST), "key", "left")
     # a passage's own words at a reply's end may be a whole quotation
     met = cut(met.withColumn("long", F.col("long") | (F.coalesce("whole", F.lit(0)) <= 1)))

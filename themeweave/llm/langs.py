@@ -85,7 +85,10 @@ class LanguageModel:
 
     def scores(self, text: str) -> tuple[np.ndarray, int]:
         """Log likelihood by language, and the number of trigrams it rests on."""
-        words = _WORD.findall(text.lower())
+        return self.scores_of(_WORD.findall(text.lower()))
+
+    def scores_of(self, words: list[str]) -> tuple[np.ndarray, int]:
+        """The same of lower-case words."""
         if len(words) + len(self.rows) > REMEMBERED_WORDS:
             self.rows.clear()
         get = self.rows.get
@@ -97,3 +100,8 @@ class LanguageModel:
         """Index of the likeliest language, or -1 if the text shows none."""
         total, n = self.scores(text)
         return int(total.argmax()) if n else -1
+
+    def language_of(self, words: list[str]) -> int:
+        """The same of lower-case words, of which numbers are left out."""
+        total, n = self.scores_of([w for w in words if w.isalpha()])
+        return int(total.argmax()) if n else -1

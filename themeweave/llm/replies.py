@@ -456,11 +456,13 @@ def _spoken(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
 
     key = pa.null()
     for b in batches:
-        key, texts = b.column(0).type, b.column(1).to_pylist()
+        key, texts, spoken = b.column(0).type, b.column(1).to_pylist(), []
         for t in texts:
-            words.update(_WORD.findall(t.lower()))
+            own = _WORD.findall(t.lower())
+            words.update(own)
+            spoken.append(language.language_of(own))
         none = pa.nulls(len(texts))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([language.language(t) if t else -1 for t in texts], pa.int32()), none.cast(pa.string()), none.cast(pa.int64())], names=["key", "language", "word", "n"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spoken, pa.int32()), none.cast(pa.string()), none.cast(pa.int64())], names=["key", "language", "word", "n"])
         if len(words) > COUNTED_WORDS:
             yield counted()
     if words:
@@ -481,11 +483,12 @@ def _sample(df: DataFrame, key: str, n: int) -> DataFrame:
 
 def _whole_words(prompts: DataFrame, replies: DataFrame) -> DataFrame:
     """(word, whole), from the words (word, n) of the prompts and the replies, of the last words of replies that stand inside a text, or before the end of a reply, often enough, as ``ending`` has it."""
-    found = lambda c: F.regexp_extract_all(F.lower(c), F.lit(f"({_WORD_SQL})"), 1)
-    joined = found(F.array_join(F.col("phrases"), " \n "))
-    inside = replies.select(F.explode(F.slice(joined, 1, F.greatest(F.size(joined) - 1, F.lit(0)))).alias("word"), F.lit(0).alias("end"))
-    ends = replies.select(F.explode("phrases").alias("p")).select(F.regexp_extract(F.lower("p"), _LAST_SQL, 1).alias("word"), F.lit(1).alias("end"))
-    words = prompts.select("word", "n", F.lit(0).alias("end")).unionByName(inside.withColumn("n", F.lit(1).cast("long"))).unionByName(ends.withColumn("n", F.lit(1).cast("long")))
+    one = F.lit(1).cast("long")
+    every = replies.select(F.explode(F.regexp_extract_all(F.lower(F.array_join("phrases", " \n ")), F.lit(f"({_WORD_SQL})"), 1)).alias("word"), one.alias("n"), F.lit(0).alias("end"))
+    # a reply's last word doesn't stand inside it
+    less = replies.select(F.col("last").alias("word"), (-one).alias("n"), F.lit(0).alias("end"))
+    ends = replies.select(F.explode("phrases").alias("p")).select(F.regexp_extract(F.lower("p"), _LAST_SQL, 1).alias("word"), one.alias("n"), F.lit(1).alias("end"))
+    words = prompts.select("word", "n", F.lit(0).alias("end")).unionByName(every).unionByName(less).unionByName(ends)
     last = broadcast_if_small(replies.select("last").filter("last <> ''").distinct().withColumnRenamed("last", "word"), MAX_BROADCAST)
     counted = words.join(last, "word", "left_semi").groupBy("word").agg(F.sum("n").alias("n"), F.sum("end").alias("e")).filter(F.col("n") - F.col("e") >= WHOLE_PLACES)
     steps = [F.when(F.col("e") >= F.greatest(F.lit(WHOLE_PLACES), share * F.col("n")), 1).otherwise(0) for share in END_SHARES]

@@ -60,21 +60,29 @@ def split_paragraphs(s) -> Column:
     return F.filter(F.transform(F.split(c(s), rf"\n{WS}*\n"), collapse_ws), lambda x: x != "")
 
 
+#: Stands between pieces while they are one string.
+_PIECE = "\u0001\u0002"
+
+
 def repack_sentences(sentences: Column, target: int) -> Column:
-    """Sentences joined greedily up to ``target`` words; one of ``target`` words or more stands alone."""
-    counted = F.transform(sentences, lambda s: F.struct(s.alias("s"), F.size(words(s)).alias("n")))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("cur"), F.lit(0).alias("n"))
+    """Sentences joined greedily up to ``target`` words; one of ``target`` words or more stands alone.
 
-    def flushed(a: Column) -> Column:
-        return F.when(a["n"] > 0, F.array_append(a["done"], F.array_join(a["cur"], " "))).otherwise(a["done"])
+    The fold over the sentences only notes, one sign each, which of them open a piece; the sentences themselves
+    are joined and cut once, so a long text isn't copied again for every sentence.
+    """
+    counted = F.transform(sentences, lambda s: F.struct(s.alias("s"), F.size(words(s)).alias("n")))
+    start = F.struct(F.lit("").alias("opens"), F.lit(0).alias("n"))
 
     def step(a: Column, x: Column) -> Column:
-        alone = F.struct(F.array_append(flushed(a), x["s"]).alias("done"), F.array().cast("array<string>").alias("cur"), F.lit(0).alias("n"))
-        fresh = F.struct(flushed(a).alias("done"), F.array(x["s"]).alias("cur"), x["n"].alias("n"))
-        more = F.struct(a["done"].alias("done"), F.array_append(a["cur"], x["s"]).alias("cur"), (a["n"] + x["n"]).alias("n"))
-        return F.when(x["n"] >= target, alone).when((a["n"] > 0) & (a["n"] + x["n"] > target), fresh).otherwise(more)
-
-    return F.aggregate(counted, start, step, flushed)
+        alone = x["n"] >= target
+        fresh = alone | (a["n"] == 0) | (a["n"] + x["n"] > target)
+        n = F.when(alone, 0).when(fresh, x["n"]).otherwise(a["n"] + x["n"])
+        return F.struct(F.concat(a["opens"], F.when(fresh, F.lit("1")).otherwise(F.lit("0"))).alias("opens"), n.alias("n"))
+
+    # bound as lambda variables, words are counted and the fold is made once
+    bound = F.transform(F.array(counted), lambda c: F.struct(c.alias("c"), F.split(F.aggregate(c, start, step)["opens"], "").alias("o")))
+    glued = lambda b: F.array_join(F.zip_with(b["c"], F.slice(b["o"], F.lit(1), F.size(b["c"])), lambda x, o: F.concat(F.when(o == "1", F.lit(_PIECE)).otherwise(F.lit(" ")), x["s"])), "")
+    return F.transform(bound, lambda b: F.filter(F.split(glued(b), _PIECE), lambda x: x != ""))[0]
 
 
 def truncate_words(s, n: int) -> Column:

@@ -38,6 +38,17 @@ def _hash_order(ident: str, seed: int) -> list[Column]:
     return [F.md5(F.concat(F.col(ident).cast("string"), F.lit(f":{seed}"))), F.col(ident)]
 
 
+#: Parts a stratum is hashed into before its first ranking.
+PARTS = 32
+
+
+def _first_of(df: DataFrame, stratum: str, ident: str, most: int, seed: int) -> DataFrame:
+    """``df`` with the place ``_r`` in hash order of the first ``most`` rows of each stratum, whose parts are ranked apart first, so no task sorts a whole stratum."""
+    order = _hash_order(ident, seed)
+    parts = df.withColumn("_p", F.pmod(F.xxhash64(ident), F.lit(PARTS))).withColumn("_r", F.row_number().over(Window.partitionBy(stratum, "_p").orderBy(*order))).filter(F.col("_r") <= most)
+    return parts.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy(*order))).filter(F.col("_r") <= most).drop("_p")
+
+
 def quota_sample(df: DataFrame, stratum: str, ident: str, *, n: int = 250, floor: int = 10, cap: float = 1.5, seed: int = 42) -> DataFrame:
     """Rows by stratum in proportion to its size, at least ``floor`` where there are as many; at most ``cap * n`` in all.
 
@@ -47,7 +58,7 @@ def quota_sample(df: DataFrame, stratum: str, ident: str, *, n: int = 250, floor
     size = x.groupBy(stratum).agg(F.count("*").alias("_size"))
     total = size.agg(F.sum("_size").alias("_total"))
     q = size.crossJoin(F.broadcast(total)).withColumn("_quota", F.least("_size", F.greatest(F.lit(floor), F.round(n * F.col("_size") / F.col("_total")).cast("long"))))  # one row
-    take = x.join(q.select(stratum, "_quota"), stratum).withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy(*_hash_order(ident, seed)))).filter(F.col("_r") <= F.col("_quota"))
+    take = _first_of(x, stratum, ident, max(n, floor), seed).join(q.select(stratum, "_quota"), stratum).filter(F.col("_r") <= F.col("_quota"))
     return take.orderBy(*_hash_order(ident, seed + 1)).limit(int(cap * n)).drop("_quota", "_r")
 
 
@@ -64,16 +75,20 @@ def even_sample(df: DataFrame, stratum: str, ident: str, n: int, seed: int = 42)
     """``n // strata`` rows of each stratum in hash order, one per identifier."""
     x = df.filter(F.col(stratum).isNotNull()).dropDuplicates([ident])
     k = x.agg(F.count_distinct(stratum).alias("_k"))
-    r = F.row_number().over(Window.partitionBy(stratum).orderBy(*_hash_order(ident, seed)))
-    return x.crossJoin(F.broadcast(k)).withColumn("_r", r).filter(F.col("_r") <= F.floor(F.lit(n) / F.col("_k"))).drop("_k", "_r")  # one row
+    return _first_of(x, stratum, ident, n, seed).crossJoin(F.broadcast(k)).filter(F.col("_r") <= F.floor(F.lit(n) / F.col("_k"))).drop("_k", "_r")  # one row
 
 
 def evidence_fragments(trace: DataFrame, *, kind: str = "concern", tech: str = "technology_meta", doc: str = "source_file", index: str = "chunk_index", text: str = "text") -> DataFrame:
-    """(tech, doc, html): the paragraphs of each report as one HTML fragment in their order, with tags only where there are any."""
+    """(tech, doc, part, index, html): HTML lines of each report: its opening (part 0), its paragraphs (1) by index, with tags only where there are any, and its closing (2).
+
+    A report is never brought together: in the order of the first four columns the lines form the pages."""
     tags = lambda name, col: F.when(F.size(col) > 0, F.concat(F.lit(f"<p class='{name}'>"), html_escape(F.concat_ws("; ", F.transform(col, lambda v: v.cast("string")))), F.lit("</p>"))).otherwise("")
-    one = F.concat(F.lit("<div><h4>"), html_escape("paragraph_id"), F.lit("</h4><p>"), html_escape(F.coalesce(text, F.lit(""))), F.lit("</p>"), tags("phrases", f"extracted_{kind}s"), tags("lenses", "framing_lenses"), F.lit("</div>"))
-    g = trace.select(tech, doc, F.struct(F.col(index).alias("i"), one.alias("h")).alias("s")).groupBy(tech, doc).agg(F.sort_array(F.collect_list("s")).alias("s"))
-    return g.select(tech, doc, F.concat(F.lit("<section><h3>"), html_escape(F.coalesce(doc, F.lit("Unknown"))), F.lit("</h3>"), F.concat_ws("\n", F.transform("s", lambda e: e["h"])), F.lit("</section>")).alias("html"))
+    one = F.concat(F.lit("<div><h4>"), html_escape(F.coalesce("paragraph_id", F.lit(""))), F.lit("</h4><p>"), html_escape(F.coalesce(text, F.lit(""))), F.lit("</p>"), tags("phrases", f"extracted_{kind}s"), tags("lenses", "framing_lenses"), F.lit("</div>"))
+    paragraphs = trace.select(tech, doc, F.lit(1).alias("part"), F.col(index).alias("index"), one.alias("html"))
+    title = F.concat(F.lit("<section><h3>"), html_escape(F.coalesce(doc, F.lit("Unknown"))), F.lit("</h3>"))
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("part"), title.alias("html")), F.struct(F.lit(2).alias("part"), F.lit("</section>").alias("html")))).alias("x")
+    reports = trace.select(tech, doc).distinct().select(tech, doc, ends).select(tech, doc, "x.part", F.lit(None).cast(dict(trace.dtypes)[index]).alias("index"), "x.html")
+    return paragraphs.unionByName(reports)
 
 
 def export_evidence_pack(trace: DataFrame, folder: str, *, kind: str = "concern", tech: str = "technology_meta", doc: str = "source_file") -> dict[str, str]:
@@ -83,7 +98,8 @@ def export_evidence_pack(trace: DataFrame, folder: str, *, kind: str = "concern"
     flat.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{base}.csv")
     trace.write.mode("overwrite").json(f"{base}.jsonl")
     trace.write.mode("overwrite").parquet(f"{base}.parquet")
-    evidence_fragments(trace, kind=kind, tech=tech, doc=doc).orderBy(tech, doc).select("html").write.mode("overwrite").text(f"{base}.html")
+    lines = evidence_fragments(trace, kind=kind, tech=tech, doc=doc)
+    lines.repartitionByRange(tech, doc, "part", "index").sortWithinPartitions(tech, doc, "part", "index").select("html").write.mode("overwrite").text(f"{base}.html")
     return {ext: f"{base}.{ext}" for ext in ("csv", "jsonl", "parquet", "html")}
 
 

@@ -112,6 +112,12 @@ def exemplars(df: DataFrame, ident: str, vector: str, cluster: str, cents: DataF
     return x.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).select(cluster, "place", ident, "similarity")
 
 
+def similarity_stats(df: DataFrame, by: str, similarity: str, digits: int = 4) -> DataFrame:
+    """(by, n, mean, median) of similarities; the median is taken of values rounded to ``digits`` places, whose number is bounded."""
+    x = df.filter(c(by).isNotNull() & c(similarity).isNotNull())
+    return x.groupBy(by).agg(F.count("*").alias("n"), F.avg(similarity).alias("mean"), F.percentile(F.round(similarity, digits), F.lit(0.5)).alias("median"))
+
+
 def kmeans(df: DataFrame, ident: str, vector: str, k: int, *, seed: int = 42, starts: int = 10, max_iter: int = 300) -> tuple[DataFrame, DataFrame]:
     """(assignments (ident, cluster_id), centroids (cluster_id, centroid)) of the best of ``starts`` runs on normalised vectors."""
     x = df.select(ident, array_to_vector(l2_normalize(vector)).alias("features")).cache()

@@ -403,7 +403,18 @@ def _(s, d):
     return X.even_sample(chunks(s, d), T, "chunk_id", 400).select("chunk_id", T)
 
 
-@q("evidence_fragments")
+def _html(x: str) -> str:
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        x = f"replace({x}, '{sign}', '{entity}')"
+    return x
+
+
+_TAG = "CASE WHEN {0} <> '' THEN '<p class=''{1}''>' || " + _html("replace({0}, '|', '; ')") + " || '</p>' ELSE '' END"
+
+
+@q("evidence_fragments", f"""WITH {_TRACE}, d AS (SELECT DISTINCT technology_meta, source_file FROM ch)
+  SELECT technology_meta, source_file, 1 AS part, chunk_index AS "index", '<div><h4>' || {_html("coalesce(source_file || '::p' || chunk_index, '')")} || '</h4><p>' || {_html("coalesce(text, '')")} || '</p>' || {_TAG.format("coalesce(phrases, '')", 'phrases')} || {_TAG.format("coalesce(lenses, '')", 'lenses')} || '</div>' AS html FROM ch LEFT JOIN g USING (chunk_id) LEFT JOIN l USING (chunk_id)
+  UNION ALL SELECT technology_meta, source_file, 0, NULL, '<section><h3>' || {_html("coalesce(source_file, 'Unknown')")} || '</h3>' FROM d UNION ALL SELECT technology_meta, source_file, 2, NULL, '</section>' FROM d""")
 def _(s, d):
     p = phrases(s, d)
     return X.evidence_fragments(X.paragraph_trace(chunks(s, d), p, labels(p), bridge(p)))

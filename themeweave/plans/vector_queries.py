@@ -113,10 +113,10 @@ def _(s, d):
     return rounded(R.pivot_runs(x, (38, 75)).withColumnsRenamed({"38": "k38", "75": "k75"}), "k38", "k75")
 
 
-@q("similarity_stats", f"WITH {_U}, {_CENT}, {ph()}, x AS (SELECT technology_meta, list_dot_product(e, c) AS s FROM u JOIN ph USING (phrase_id) JOIN cen USING (cluster_id)) SELECT technology_meta, count(*) AS n, round(avg(s), 6) AS mean, round(quantile_cont(s, 0.5), 6) AS median FROM x WHERE technology_meta IS NOT NULL GROUP BY ALL")
+@q("similarity_stats", f"WITH {_U}, {_CENT}, {ph()}, x AS (SELECT technology_meta, list_dot_product(e, c) AS s FROM u JOIN ph USING (phrase_id) JOIN cen USING (cluster_id)) SELECT technology_meta, count(*) AS n, round(avg(s), 6) AS mean, round(quantile_cont(round(s, 4), 0.5), 6) AS median FROM x WHERE technology_meta IS NOT NULL GROUP BY ALL")
 def _(s, d):
     x = _members(s, d).join(_cents(s, d), C).filter(f"{T} IS NOT NULL").withColumn("s", V.cosine("embedding", "centroid"))
-    return rounded(x.groupBy(T).agg(F.count("*").alias("n"), F.avg("s").alias("mean"), F.percentile("s", F.lit(0.5)).alias("median")), "mean", "median")
+    return rounded(V.similarity_stats(x, T, "s"), "mean", "median")
 
 
 @q("yearly_mean_vectors", f"WITH {_V}, {ph()}, x AS (SELECT year, unnest(e) AS v, generate_subscripts(e, 1) - 1 AS pos FROM vec JOIN ph USING (phrase_id) WHERE technology_meta = '{TARGET}' AND year IS NOT NULL) SELECT year, CAST(pos AS INTEGER) AS pos, {r6('avg(v)')} AS mean FROM x GROUP BY ALL")

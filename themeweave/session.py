@@ -15,12 +15,15 @@ def table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a local one is made only where none is configured (tests)."""
+    """The session's checkpoint folder. Without one a temporary folder serves a local session (tests); on a cluster, whose
+    executors don't share it, that raises."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = os.path.join(tempfile.gettempdir(), f"themeweave-checkpoint-{os.getpid()}")
     spark.sparkContext.setCheckpointDir(where)
     return where

@@ -1,4 +1,5 @@
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -208,3 +209,34 @@ def test_streams(spark, sf, tmp_path):
         q = streams.extract_stream(streams.stream_table(spark, str(tmp_path / "chunks"), chunks.schema), lambda c: E.extract_offline(c, "concern"), str(tmp_path / "ex"), str(tmp_path / f"cp{_}"))
         q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "ex")).count() == 5
+
+
+def test_labels_know_their_track_and_cache():
+    asked = []
+    complete = lambda prompt: asked.append(prompt) or '{"label": "L"}'
+    first = E.label_clusters({1: ["a"], 2: ["b"]}, complete, kind="benefit")
+    assert "benefits" in asked[0] and len(asked) == 2
+    assert E.label_clusters({1: ["a"], 3: ["c"]}, complete, cached=first)[1] is first[1] and len(asked) == 3
+    with pytest.raises(ValueError):
+        E.label_cluster(1, ["a"], complete, "opinion")
+    group = lambda left: asked.append(left) or {"new": list(left)}
+    assert E.assign_lenses({1: "x", 2: "y"}, group, cached={"old": [1, 9]}) == {"old": [1], "new": [2]} and asked[-1] == {2: "y"}
+    assert E.assign_lenses({1: "x"}, group, cached={"old": [1]}) == {"old": [1]} and asked[-1] == {2: "y"}
+
+
+def test_calls_share_one_budget_and_run_side_by_side(spark):
+    class Slow:
+        def complete(self, messages, max_tokens):
+            time.sleep(0.2)
+            return "one phrase here"
+
+        def embed(self, texts):
+            raise RuntimeError("down")
+
+    chunks = spark.createDataFrame([(f"c{i}", "text") for i in range(20)], "chunk_id string, text string")
+    began = time.time()
+    out = E.call_model(chunks.coalesce(1), "concern", Slow, variant="V3", calls_at_once=10).collect()
+    assert len(out) == 20 and time.time() - began < 4
+    assert E.call_model(chunks, "concern", Slow, calls_per_minute=60, tasks=3).rdd.getNumPartitions() == 3
+    with pytest.raises(Exception, match="batches that failed, by the place of their first text: 0 .*, 5 "):
+        E.embed_texts(chunks.select(F.col("chunk_id").alias("t")).coalesce(1), "t", Slow, batch=5).collect()

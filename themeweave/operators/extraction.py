@@ -11,6 +11,7 @@ import threading
 import time
 from collections import deque
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -74,6 +75,8 @@ def complete_with_retry(client: Client, messages: list[dict[str, str]], max_toke
     return None
 
 
+#: Calls that one task has under way at a time.
+CALLS_AT_ONCE = 5
 #: Our own prompt texts by track and variant: (system, template).
 PROMPTS: dict[tuple[str, str], tuple[str, str]] = {
     ("concern", "A"): ("You list worries voiced by the public.", "List each worry in the passage below as a phrase of 3 to 10 words, one a line, without naming the technology. Reply NO_CONCERN if there is none.\n\n{text}"),
@@ -82,6 +85,10 @@ PROMPTS: dict[tuple[str, str], tuple[str, str]] = {
     ("benefit", "B"): ("You summarise public dialogue.", "What good do people expect here? Short phrases, one a line, no technology names; NO_BENEFIT if nothing.\n\n{text}"),
     ("concern", "C"): ("You are a careful analyst.", "Name the themes of concern in the passage, at most three phrases, one a line; NO_CONCERN if there are none.\n\n{text}"),
     ("benefit", "C"): ("You are a careful analyst.", "Name the themes of benefit in the passage, at most three phrases, one a line; NO_BENEFIT if there are none.\n\n{text}"),
+    # the study of framings: V0 worries as above, V1 any open question, V3 only what stays true without the technology
+    ("concern", "V0"): ("You list worries voiced by the public, briefly and without naming technologies.", "List one to three worries of the public in the passage below, as phrases of 3 to 10 words that would fit any technology, one a line. Reply NO_CONCERN if there is none.\n\n{text}"),
+    ("concern", "V1"): ("You list open issues voiced by the public, briefly and without naming technologies.", "List one to three issues raised in the passage below - worries, trade-offs, doubts, disputes or questions of oversight, no plain facts - as phrases of 3 to 10 words that would fit any technology, one a line. Reply NO_CONCERN if there is none.\n\n{text}"),
+    ("concern", "V3"): ("You list worries voiced by the public, briefly and without naming technologies.", "List one to three worries of the public in the passage below, as phrases of 3 to 10 words that would fit any technology, one a line. Where leaving the technology out would change what is meant, reply NO_CONCERN rather than a general phrase; likewise if there is none.\n\n{text}"),
 }
 
 
@@ -91,26 +98,35 @@ def messages(kind: str, text: str, variant: str = "A", *, prompt_chars: int = 20
     return [{"role": "system", "content": system}, {"role": "user", "content": template.format(text=(text or "")[:prompt_chars])}]
 
 
-def call_model(chunks: DataFrame, kind: str, make_client: Callable[[], Client], *, chunk: str = "chunk_id", text: str = "text", variant: str = "A", max_retries: int = 5, calls_per_minute: int | None = None) -> DataFrame:
-    """(chunk_id, content, error): one call per chunk, made where the rows are.
+def call_model(chunks: DataFrame, kind: str, make_client: Callable[[], Client], *, chunk: str = "chunk_id", text: str = "text", variant: str = "A", max_retries: int = 5, calls_per_minute: int | None = None, calls_at_once: int = CALLS_AT_ONCE, tasks: int | None = None) -> DataFrame:
+    """(chunk_id, content, error): one call per chunk, made where the rows are, ``calls_at_once`` at a time in each task.
 
+    ``calls_per_minute`` is the budget of the whole job: the chunks are put in ``tasks`` partitions (as many as the cluster runs at
+    once), and each has its part of the budget, so all together never exceed it.
     ``make_client`` runs in each Python worker. A call that fails gives its error, never an aborted job.
     Write the result before using it twice: a side effect must happen once.
     """
     check_track(kind)
 
+    ways = tasks or chunks.sparkSession.sparkContext.defaultParallelism
+    if calls_per_minute:
+        ways = max(1, min(ways, calls_per_minute))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client, limiter = make_client(), SlidingWindowLimiter(calls_per_minute) if calls_per_minute else None
-        for b in batches:
-            out = []
-            for ident, passage in zip(b["chunk_id"], b["text"]):
-                try:
-                    out.append((ident, complete_with_retry(client, messages(kind, passage, variant), 500, max_retries, limiter=limiter), None))
-                except Exception as e:  # noqa: BLE001
-                    out.append((ident, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["chunk_id", "content", "error"])
+        client, limiter = make_client(), SlidingWindowLimiter(calls_per_minute // ways) if calls_per_minute else None
 
-    return chunks.select(F.col(chunk).cast("string").alias("chunk_id"), F.col(text).alias("text")).mapInPandas(run, "chunk_id string, content string, error string")
+        def one(row: tuple[str, str | None]) -> tuple[str, str | None, str | None]:
+            try:
+                return row[0], complete_with_retry(client, messages(kind, row[1], variant), 500, max_retries, limiter=limiter), None
+            except Exception as e:  # noqa: BLE001
+                return row[0], None, f"{type(e).__name__}: {e}"
+
+        with ThreadPoolExecutor(calls_at_once) as pool:
+            for b in batches:
+                yield pd.DataFrame(list(pool.map(one, zip(b["chunk_id"], b["text"]))), columns=["chunk_id", "content", "error"])
+
+    rows = chunks.select(F.col(chunk).cast("string").alias("chunk_id"), F.col(text).alias("text"))
+    return (rows.repartition(ways) if calls_per_minute else rows).mapInPandas(run, "chunk_id string, content string, error string")
 
 
 def parse_replies(replies: DataFrame, kind: str, tech_words: Sequence[str] = TECH_WORDS) -> DataFrame:
@@ -229,12 +245,18 @@ def embed_texts(df: DataFrame, text: str, make_client: Callable[[], Client], *,
         client = make_client()
         for p in parts:
             vectors: list[list[float]] = []
-            texts = p["_t"].tolist()
+            texts, failed = p["_t"].tolist(), []
             for lo in range(0, len(texts), batch):
-                got = client.embed(texts[lo : lo + batch])
-                if len(got) != len(texts[lo : lo + batch]):
-                    raise RuntimeError(f"{len(got)} vectors for {len(texts[lo : lo + batch])} texts")
-                vectors += got
+                part = texts[lo : lo + batch]
+                try:
+                    got = client.embed(part)
+                    if len(got) != len(part):
+                        raise RuntimeError(f"{len(got)} vectors for {len(part)} texts")
+                    vectors += got
+                except Exception as e:  # noqa: BLE001
+                    failed.append(f"{lo} ({type(e).__name__}: {e})")
+            if failed:
+                raise RuntimeError(f"batches that failed, by the place of their first text: {', '.join(failed)}")
             yield pd.DataFrame({"_t": texts, embedding: vectors})
 
     once = df.select(c(text).alias("_t")).filter(F.col("_t").isNotNull()).distinct().mapInPandas(run, f"_t string, {embedding} array<float>")
@@ -253,12 +275,16 @@ class Label:
     error: str | None = None
 
 
-def label_cluster(cluster: int, texts: Sequence[str], complete: Callable[[str], str | None]) -> Label:
-    """A label from a cluster's exemplars (at most eight, never naming technologies); 'Cluster N' if anything fails."""
+#: What a cluster's phrases are, by track.
+LABEL_SUBJECTS = {"concern": "worries of the public", "benefit": "benefits that the public hopes for"}
+
+
+def label_cluster(cluster: int, texts: Sequence[str], complete: Callable[[str], str | None], kind: str = "concern") -> Label:
+    """A label from a cluster's exemplars (at most eight, never naming technologies); 'Cluster N' if anything fails. An unknown track raises."""
     import json
     import re
 
-    prompt = "Give a JSON object with label, description and key_terms for these phrases:\n" + "\n".join(f"- {t}" for t in texts[:8])
+    prompt = f"Give a JSON object with label, description and key_terms for these {LABEL_SUBJECTS[check_track(kind)]}; name no technology:\n" + "\n".join(f"- {t}" for t in texts[:8])
     try:
         reply = re.sub(r"^```(?:json)?\s*|\s*```$", "", (complete(prompt) or "").strip())
         data = json.loads(reply)
@@ -267,17 +293,22 @@ def label_cluster(cluster: int, texts: Sequence[str], complete: Callable[[str],
         return Label(f"Cluster {cluster}", success=False, error=f"{type(e).__name__}: {e}")
 
 
-def label_clusters(exemplar_texts: dict[int, Sequence[str]], complete: Callable[[str], str | None], min_success_rate: float = 0.9) -> dict[int, Label]:
-    out = {k: label_cluster(k, v, complete) for k, v in sorted(exemplar_texts.items())}
+def label_clusters(exemplar_texts: dict[int, Sequence[str]], complete: Callable[[str], str | None], min_success_rate: float = 0.9, *, kind: str = "concern", cached: dict[int, Label] | None = None) -> dict[int, Label]:
+    """A label for every cluster; those ``cached`` with success aren't asked for again."""
+    check_track(kind)
+    kept = {k: v for k, v in (cached or {}).items() if k in exemplar_texts and v.success}
+    out = {k: kept[k] if k in kept else label_cluster(k, v, complete, kind) for k, v in sorted(exemplar_texts.items())}
     rate = sum(x.success for x in out.values()) / max(len(out), 1)
     if out and rate < min_success_rate:
         raise RuntimeError(f"only {rate:.0%} of the clusters could be labelled")
     return out
 
 
-def assign_lenses(labels: dict[int, str], group: Callable[[dict[int, str]], dict[str, list[int]]]) -> dict[str, list[int]]:
-    """Lens -> clusters covering every cluster: one more call for those left over, and what still remains joins the largest lens."""
-    lenses: dict[str, list[int]] = {}
+def assign_lenses(labels: dict[int, str], group: Callable[[dict[int, str]], dict[str, list[int]]], *, cached: dict[str, list[int]] | None = None) -> dict[str, list[int]]:
+    """Lens -> clusters covering every cluster: one more call for those left over, and what still remains joins the largest lens.
+
+    ``cached`` lenses keep their clusters; only clusters they don't cover are asked for."""
+    lenses: dict[str, list[int]] = {k: [i for i in v if i in labels] for k, v in (cached or {}).items()}
     for _ in range(2):
         left = {k: v for k, v in labels.items() if not any(k in ids for ids in lenses.values())}
         if not left:

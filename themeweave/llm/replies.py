@@ -56,7 +56,7 @@ _WORD = re.compile(r"[^\W_]+")
 _CLAUSE = re.compile(r"(?<=[.!?;:])\s+|\n+")
 _NOTHING = re.compile(r"^\W*no[\W_]*(?:concern|benefit)s?\W*$", re.I)
 _WORD_SQL = r"[\p{L}\p{N}]+"
-_LAST_SQL = rf"({_WORD_SQL})[^\p{{L}}\p{{N}}]*$"
+_LAST_SQL = rf"(?s)^(?:.*[^\p{{L}}\p{{N}}])?({_WORD_SQL})[^\p{{L}}\p{{N}}]*$"
 # Parts of refusals; the field is trained on sentences made of them.
 REFUSALS = {
     "open": ["", "", "", "Sorry, ", "I'm sorry, but ", "I am sorry: ", "Apologies – ", "My apologies: ", "Unfortunately, ", "Regrettably, ", "I regret that ", "Thank you, however ", "With respect, ", "Hello! ", "As an AI, ", "As a language model, ", "As an assistant, ", "To be clear, ", "I understand the task, but ", "Thank you for sharing. "],

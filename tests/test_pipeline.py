@@ -225,7 +225,7 @@ def test_labels_know_their_track_and_cache():
 
 
 def test_calls_share_one_budget_and_run_side_by_side(spark):
-    class Slow:
+    class Slow:  # made in the test, so that workers need not import this module
         def complete(self, messages, max_tokens):
             time.sleep(0.2)
             return "one phrase here"

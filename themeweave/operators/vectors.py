@@ -5,11 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from themeweave.functions.text import c
+from themeweave.operators.lloyd import best_of
 from themeweave.session import broadcast_if_small
 
 #: Centroids, labels and similar tables up to this size are broadcast.
@@ -120,21 +119,9 @@ def similarity_stats(df: DataFrame, by: str, similarity: str, digits: int = 4) -
 
 def kmeans(df: DataFrame, ident: str, vector: str, k: int, *, seed: int = 42, starts: int = 10, max_iter: int = 300) -> tuple[DataFrame, DataFrame]:
     """(assignments (ident, cluster_id), centroids (cluster_id, centroid)) of the best of ``starts`` runs on normalised vectors."""
-    x = df.select(ident, array_to_vector(l2_normalize(vector)).alias("features")).cache()
-    try:
-        if x.limit(k).count() < k:
-            raise ValueError(f"fewer than {k} vectors")
-        best = None
-        for s in range(starts):
-            model = KMeans(k=k, seed=seed + s, maxIter=max_iter, initMode="k-means||", featuresCol="features", predictionCol="cluster_id").fit(x)
-            cost = model.summary.trainingCost
-            if best is None or cost < best[0]:
-                best = (cost, model)
-    finally:
-        x.unpersist()
-    rows = [(i, (v / max(np.linalg.norm(v), 1e-12)).tolist()) for i, v in enumerate(np.array(best[1].clusterCenters()))]
-    cents = df.sparkSession.createDataFrame(rows, "cluster_id int, centroid array<double>")
-    return best[1].transform(x).select(ident, "cluster_id"), cents
+    assigned, centres = best_of(df, ident, vector, [k], seed=seed, starts=starts, max_iter=max_iter)[k]
+    rows = [(i, (v / max(np.linalg.norm(v), 1e-12)).tolist()) for i, v in enumerate(centres)]
+    return assigned, df.sparkSession.createDataFrame(rows, "cluster_id int, centroid array<double>")
 
 
 # --- analyses of small matrices (years, clusters): bounded by MATRIX_ROWS -------------------

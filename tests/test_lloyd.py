@@ -1,10 +1,12 @@
 """k-means: bounded steps against plain ones, runs that share their passes, odd inputs."""
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from themeweave.operators import lloyd as L, vectors as V
+from themeweave.operators import lloyd as L, robustness as R, vectors as V
 
 
 def _unit(x):
@@ -40,6 +42,38 @@ def test_bounded_steps_equal_plain_ones(tmp_path, monkeypatch):
     assert kept == 25 and len(list(tmp_path.rglob("0-*"))) == 2
 
 
+def test_all_runs_of_a_sweep_share_each_pass(spark, monkeypatch):
+    x = _bundles(2_000, 8, 2)
+    df = spark.createDataFrame([(i, f"t{i % 3}", v.tolist()) for i, v in enumerate(x)], "phrase_id int, technology_meta string, embedding array<float>")
+    plain, steps = L._sent, []
+
+    @contextmanager
+    def sent(spark, value):
+        if isinstance(value, tuple):
+            steps.append(set(value[3]))
+        with plain(spark, value) as shared:
+            yield shared
+
+    monkeypatch.setattr(L, "_sent", sent)
+    assert [(r.k, r.n_clusters) for r in R.k_sweep(df, "concern", (8, 12), starts=4).orderBy("k").collect()] == [(8, 8), (12, 12)]
+    assert steps[0] == set(range(8)) and all(b <= a for a, b in zip(steps, steps[1:]))
+    monkeypatch.undo()
+    assigned, cents = V.kmeans(df, "phrase_id", "embedding", 12, starts=4)
+    label = {r.phrase_id: r.cluster_id for r in assigned.collect()}
+    assert len(label) == 2_000
+    # the centres rest: each is the mean of the vectors nearest to it, and they are as good as plain steps from twelve of the bundles
+    mean = np.array([x[[i for i in label if label[i] == k]].mean(0, dtype=float) for k in range(12)])
+    c = {r.cluster_id: np.array(r.centroid) for r in cents.collect()}
+    assert np.allclose(_unit(mean), np.array([c[k] for k in range(12)]), atol=1e-2)
+    assert np.mean([(((x[i] - mean) ** 2).sum(1)).argmin() == k for i, k in label.items()]) > 0.99
+    other = x[np.random.default_rng(3).permutation(2_000)[:12]].astype(float)
+    for _ in range(100):
+        own = (x @ other.T - 0.5 * (other**2).sum(1)).argmax(1)
+        other = np.array([x[own == k].mean(0, dtype=float) if (own == k).any() else other[k] for k in range(12)])
+    cost = lambda m: ((x[:, None] - m[None]) ** 2).sum(2).min(1).sum()
+    assert cost(mean) <= 1.02 * cost(other)
+
+
 def test_odd_vectors(spark):
     same = spark.createDataFrame([(f"a{i}", [1.0, float(i % 2)]) for i in range(20)] + [("n", None), ("z", [0.0, 0.0])], "id string, v array<double>")
     assigned, cents = V.kmeans(same, "id", "v", 5, starts=2)  # three distinct vectors

@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from themeweave.functions.stats import div, plogp, support_norm
+from themeweave.operators.lloyd import best_of
 from themeweave.operators.metrics import check_track, counts, cross_cutting_summary, cluster_profile, group_distribution
 from themeweave.operators.shares import extremes, fingerprint, lens_salience, salience
 from themeweave.operators.temporal import diversity_by
-from themeweave.operators.vectors import kmeans, l2_normalize, map_centroids
+from themeweave.operators.vectors import kmeans, map_centroids
 
 
 def stable_core_robustness(sal: DataFrame, tech: str, cluster: str, target: str, thresholds: Sequence[float] = (0.4, 0.5, 0.6), quantiles: Sequence[float] = (0.70, 0.75, 0.80), ends: int = 5) -> DataFrame:
@@ -86,15 +87,13 @@ def run_sensitivity(phrases: DataFrame, kind: str, k: int, *, target: str, base_
     return out
 
 
-def k_sweep(phrases: DataFrame, kind: str, ks: Sequence[int] = (60, 75, 90), **options) -> DataFrame:
-    """(k, n_clusters, n_cross_cutting, pct_clusters) of repeated runs; the vectors are normalised and kept once."""
-    vector = options.get("vector", "embedding")
-    tech = options.get("tech", "technology_meta")
-    ident = options.get("ident", "phrase_id")
-    base = phrases.withColumn(vector, l2_normalize(vector)).cache()
+def k_sweep(phrases: DataFrame, kind: str, ks: Sequence[int] = (60, 75, 90), *, vectors: DataFrame | None = None, **options) -> DataFrame:
+    """(k, n_clusters, n_cross_cutting, pct_clusters) of repeated runs; the runs of all ``ks`` share their passes over the vectors."""
+    tech, ident = options.get("tech", "technology_meta"), options.get("ident", "phrase_id")
+    found = best_of(phrases if vectors is None else vectors, ident, options.get("vector", "embedding"), ks, seed=options.get("seed", 42), starts=options.get("starts", 1))
+    base = phrases.select(ident, tech)
     out = None
     for k in ks:
-        assigned, _ = kmeans(base, ident, vector, k, seed=options.get("seed", 42), starts=options.get("starts", 1))
-        s = cross_cutting_summary(cluster_profile(base.drop("cluster_id").join(assigned, ident), "cluster_id", tech, k)).select(F.lit(k).alias("k"), "n_clusters", "n_cross_cutting", "pct_clusters")
+        s = cross_cutting_summary(cluster_profile(base.join(found[k][0], ident), "cluster_id", tech, k)).select(F.lit(k).alias("k"), "n_clusters", "n_cross_cutting", "pct_clusters")
         out = s if out is None else out.unionByName(s)
     return out

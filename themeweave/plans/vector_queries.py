@@ -38,6 +38,11 @@ def _members(s, d):
     return vectors(s, d).join(phrases(s, d).select("phrase_id", C, T, "year"), "phrase_id")
 
 
+def _own_vectors(s, d):
+    """Usable vectors of the phrases that occur."""
+    return vectors(s, d).join(phrases(s, d).select("phrase_id"), "phrase_id", "left_semi")
+
+
 @q("l2_normalize", f"WITH {_U} SELECT phrase_id, {r6('e[1]')} AS first, {r6('e[96]')} AS last FROM u")
 def _(s, d):
     u = vectors(s, d).withColumn("u", V.l2_normalize("embedding"))
@@ -167,7 +172,7 @@ def _(s, d):
 
 @q("k_sweep")
 def _(s, d):
-    return R.k_sweep(cut(_members(s, d)), "concern", starts=10)
+    return R.k_sweep(phrases(s, d), "concern", vectors=_own_vectors(s, d), starts=10)
 
 
 @q("prompt_agreement", f"""WITH {_VAR}, {_CENT}, v AS (SELECT variant, chunk_id, phrase_idx, c FROM ph JOIN cen USING (cluster_id)), al AS (SELECT chunk_id FROM ch),

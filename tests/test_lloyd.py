@@ -84,3 +84,18 @@ def test_odd_vectors(spark):
         V.kmeans(spark.createDataFrame([("a", [1.0]), ("b", [1.0, 2.0])], "id string, v array<double>"), "id", "v", 1)
     with pytest.raises(ValueError, match="fewer than"):
         V.kmeans(same.filter("id = 'none'"), "id", "v", 1)
+
+
+def test_vectors_apart_from_the_phrases(spark):
+    """A phrase without a vector is in no cluster, and the lens table doesn't depend on where the vectors are."""
+    x = _bundles(400, 6, 4)
+    phrases = spark.createDataFrame([(i, i % 7, f"t{i % 3}", 2000 + i % 2) for i in range(410)], "phrase_id int, cluster_id int, technology_meta string, year int")
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "phrase_id int, embedding array<float>")
+    base = spark.createDataFrame([(k, x[k].tolist()) for k in range(7)], "cluster_id int, centroid array<float>")
+    bridge = spark.createDataFrame([(k, f"l{k % 2}") for k in range(7)], "cluster_id int, lens string")
+    options = {"target": "t0", "base_centroids": base, "bridge": bridge}
+    apart = R.run_sensitivity(phrases, "concern", 5, vectors=vectors, **options)
+    joined = R.run_sensitivity(phrases.join(vectors, "phrase_id"), "concern", 5, **options)
+    assert apart["assignments"].count() == 400
+    for name in ("lens_salience", "stable_core"):
+        assert sorted(map(str, apart[name].collect())) == sorted(map(str, joined[name].collect()))

@@ -61,17 +61,17 @@ def pivot_runs(long: DataFrame, runs: Sequence, run: str = "k") -> DataFrame:
     return long.withColumn("_r", F.col(run).cast("string")).groupBy("lens").pivot("_r", names).agg(F.max("share")).fillna(0.0, names)
 
 
-def run_sensitivity(phrases: DataFrame, kind: str, k: int, *, target: str, base_centroids: DataFrame | None = None, bridge: DataFrame | None = None, ident: str = "phrase_id", vector: str = "embedding", tech: str = "technology_meta", year: str = "year", low: int = 5, high: int = 7, seed: int = 42, lens_mapping: str = "nearest") -> dict[str, DataFrame]:
+def run_sensitivity(phrases: DataFrame, kind: str, k: int, *, target: str, base_centroids: DataFrame | None = None, bridge: DataFrame | None = None, ident: str = "phrase_id", vector: str = "embedding", tech: str = "technology_meta", year: str = "year", low: int = 5, high: int = 7, seed: int = 42, lens_mapping: str = "nearest", vectors: DataFrame | None = None) -> dict[str, DataFrame]:
     """One run of the track's analyses with ``k`` clusters: core, fingerprint, diversity, lenses and assignments.
 
     Lenses belong to the base clusters; each new cluster takes those of its nearest base centroid
-    (``lens_mapping='raw'`` reads the new ids as base ids).
+    (``lens_mapping='raw'`` reads the new ids as base ids). ``vectors`` (ident, vector) holds the phrases' vectors where they are a table of their own.
     """
     check_track(kind)
     if lens_mapping not in ("nearest", "raw"):
         raise ValueError("lens_mapping must be 'nearest' or 'raw'")
-    assigned, cents = kmeans(phrases, ident, vector, k, seed=seed)
-    x = phrases.drop("cluster_id").join(assigned, ident)
+    assigned, cents = kmeans(phrases if vectors is None else vectors, ident, vector, k, seed=seed)
+    x = phrases.drop("cluster_id", vector).join(assigned, ident)
     dist = group_distribution(x, "cluster_id", tech)
     total = x.agg(F.count("*").alias("_all"))
     core = dist.crossJoin(F.broadcast(total)).select("cluster_id", F.col("total").alias("size"), (F.col("total") / F.col("_all")).alias("prevalence"), F.col("entropy_norm").alias("entropy"))  # one row

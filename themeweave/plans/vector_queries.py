@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from themeweave.operators import metrics as M, robustness as R, shares as S, temporal as Y, vectors as V
 from themeweave.plans.inputs import BR, K, TARGET, bridge, chunks, ph, phrases, r6, vectors
 from themeweave.plans.theme_queries import C, T, _VAR, rounded, variants
-from themeweave.session import cut, table
+from themeweave.session import table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -165,8 +165,7 @@ def _(s, d):
 
 @q("run_sensitivity")
 def _(s, d):
-    x = cut(_members(s, d))
-    out = R.run_sensitivity(x, "concern", K, target=TARGET, base_centroids=_cents(s, d), bridge=bridge(phrases(s, d)))
+    out = R.run_sensitivity(phrases(s, d), "concern", K, target=TARGET, base_centroids=_cents(s, d), bridge=bridge(phrases(s, d)), vectors=_own_vectors(s, d))
     return out["lens_salience"]
 
 

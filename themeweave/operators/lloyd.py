@@ -239,7 +239,7 @@ def _settle(x: np.ndarray, rows: np.ndarray | None, centres: np.ndarray, sums: n
 
 
 def _step(batches: Iterator[pa.RecordBatch], dim: int, shared) -> Iterator[pa.RecordBatch]:
-    """(run, sums) of the partition: each centre's sum of vectors and their number."""
+    """(run, sums) of the partition: each centre's sum of vectors and their number, in single precision as the distances, so that the driver takes in half as much."""
     folder, step, ks, active = shared.value  # active: run -> (centres, how far each has moved)
     state = _State(folder, TaskContext.get().partitionId(), step, ks, dim)
     if state.rows is None:
@@ -276,7 +276,7 @@ def _step(batches: Iterator[pa.RecordBatch], dim: int, shared) -> Iterator[pa.Re
                 _settle(x, np.flatnonzero(high + SLACK >= low), centres, state.sums[r], label, high, low)
         if lo != state.n:
             raise RuntimeError("the partition's rows have changed")
-    out = pa.RecordBatch.from_arrays([pa.array(list(active), pa.int32()), pa.array([state.sums[r].tobytes() for r in active], pa.binary())], names=["run", "sums"])
+    out = pa.RecordBatch.from_arrays([pa.array(list(active), pa.int32()), pa.array([state.sums[r].astype(np.float32).tobytes() for r in active], pa.binary())], names=["run", "sums"])
     state.keep()
     yield out
 
@@ -319,7 +319,7 @@ def best_of(df: DataFrame, ident: str, vector: str, ks: Sequence[int], *, seed:
             with _sent(spark, (folder, step, found, {r: (centres[r].astype(np.float32), moved[r]) for r in active})) as shared:
                 rows = x.mapInArrow(lambda it, m=shared: _step(it, dim, m), "run int, sums binary").collect()  # one a run and partition
             for r in list(active):
-                sums = sum(np.frombuffer(row.sums).reshape(found[r], dim + 1) for row in rows if row.run == r)
+                sums = sum(np.frombuffer(row.sums, np.float32).reshape(found[r], dim + 1).astype(float) for row in rows if row.run == r)
                 new = np.where(sums[:, -1:] > 0.5, sums[:, :-1] / np.maximum(sums[:, -1:], 1), centres[r])
                 moved[r] = np.sqrt(((new.astype(np.float32).astype(float) - centres[r].astype(np.float32)) ** 2).sum(1))
                 if ((new - centres[r]) ** 2).sum() <= tolerance * variance:
